@@ -1,15 +1,19 @@
 """Operators for training-data pipelines, with their queries and, where SQL can express them, oracle SQL."""
 
-from . import langid, mixing, quality_rules, token_count
+from . import decontamination, langid, mixing, quality_model, quality_rules, token_count, warc
 
 QUERIES = {
     "op3_token_counts": token_count.query,
+    "op4_decontamination": decontamination.query,
+    "op5_quality_model": quality_model.query,
     "op6_quality_rules": quality_rules.query,
     "op7_source_mix": mixing.query,
+    "op8_warc_derivatives": warc.query,
     "op9_language_id": langid.query,
 }
 
 ORACLES = {
+    "op4_decontamination": decontamination.ORACLE,
     "op6_quality_rules": quality_rules.ORACLE,
     "op7_source_mix": mixing.ORACLE,
 }

@@ -67,7 +67,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 def input_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of a table's size, for choosing a number of ranges."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def runs_of(sizes: Iterable[int], most: int) -> Iterator[tuple[int, int]]:

@@ -1,8 +1,9 @@
 """Operators for training-data pipelines, with their queries and, where SQL can express them, oracle SQL."""
 
-from . import decontamination, langid, license_scan, line_dedup, mixing, quality_model, quality_rules, token_count, warc
+from . import decontamination, langid, license_scan, line_dedup, mixing, ngram_jaccard, quality_model, quality_rules, token_count, warc
 
 QUERIES = {
+    "op1_ngram_jaccard": ngram_jaccard.query,
     "op2_line_dedup": line_dedup.query,
     "op3_token_counts": token_count.query,
     "op4_decontamination": decontamination.query,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -59,10 +60,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it again: lineage ends there, lost executors cost nothing."""
-    path = shared_dir(df.sparkSession)
+    """Write a table to the shared folder and read it again: lineage ends there, lost executors cost nothing.
+
+    The collection at the end lets Spark's context cleaner drop shuffle files that only the old lineage referred to.
+    """
+    spark, path = df.sparkSession, shared_dir(df.sparkSession)
+    schema = df.schema
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    del df
+    gc.collect()
+    spark._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def input_bytes(df: DataFrame) -> int:

@@ -19,6 +19,30 @@ def parts_for(df: DataFrame, blowup: float, target: int = 24 << 20) -> tuple[int
     return n, 8 * n
 
 
+def _murmur(x: int) -> int:
+    """Spark's hash of an int."""
+    m = 0xFFFFFFFF
+    k = x * 0xCC9E2D51 & m
+    k = (k << 15 | k >> 17) & m
+    h = 42 ^ (k * 0x1B873593 & m)
+    h = ((h << 13 | h >> 19) & m) * 5 + 0xE6546B64 & m
+    h ^= 4
+    h = (h ^ h >> 16) * 0x85EBCA6B & m
+    h = (h ^ h >> 13) * 0xC2B2AE35 & m
+    h ^= h >> 16
+    return h - (1 << 32) if h >> 31 else h
+
+
+def spread(partitions: int) -> np.ndarray:
+    """For each partition a number that repartition(partitions, ...) sends there, so parts fill partitions evenly."""
+    out: dict[int, int] = {}
+    x = 0
+    while len(out) < partitions:
+        out.setdefault(_murmur(x) % partitions, x)
+        x += 1
+    return np.array([out[k] for k in range(partitions)], np.int32)
+
+
 def pack(part: np.ndarray, records: np.ndarray) -> Iterator[pa.RecordBatch]:
     """One row for each part that occurs, with its records' bytes."""
     if not len(records):

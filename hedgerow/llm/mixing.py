@@ -147,14 +147,13 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix itself: a row for each copy taken, with the columns of documents and copy (0, 1)."""
-    ids = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    taken = mix(ids.select("doc_id", "text", "source")).where("copies > 0").groupBy("doc_id", "size").agg(F.max("copies").alias("copies"))
-    return (
-        docs.join(taken.select("doc_id", "copies"), "doc_id")
-        .withColumn("copy", F.explode(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int"))))
-        .select(*docs.columns, "copy")
-    )
+    """The mix itself: a row for each copy taken, with the columns of documents and copy (1, 2)."""
+    tagged = docs.withColumn("_tid", F.xxhash64("text"))
+    taken = mix(tagged.select("text", "source", F.struct("doc_id", "_tid").alias("doc_id")))
+    # Rows equal in id and text are drawn alike: the first of them stands for all.
+    taken = taken.where("copies > 0").groupBy(F.col("doc_id.doc_id").alias("_id"), F.col("doc_id._tid").alias("_t")).agg(F.max("copies").alias("_copies"))
+    got = tagged.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_tid").eqNullSafe(F.col("_t")))
+    return got.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns, "copy")
 
 
 ORACLE = """

@@ -1,0 +1,63 @@
+"""Regular expressions in Python's dialect, made to mean the same in Spark (Java)."""
+
+from __future__ import annotations
+
+import re
+
+WORD_CLASS = r"\p{L}\p{N}_"
+SPACE_CLASS = r"\s\x1c-\x1f\x85\p{Z}"
+_BOUNDARY = rf"(?:(?<=[{WORD_CLASS}])(?![{WORD_CLASS}])|(?<![{WORD_CLASS}])(?=[{WORD_CLASS}]))"
+_NOT_BOUNDARY = rf"(?:(?<=[{WORD_CLASS}])(?=[{WORD_CLASS}])|(?<![{WORD_CLASS}])(?![{WORD_CLASS}]))"
+_OUTSIDE = {
+    "b": _BOUNDARY,
+    "B": _NOT_BOUNDARY,
+    "w": f"[{WORD_CLASS}]",
+    "W": f"[^{WORD_CLASS}]",
+    "d": r"\p{Nd}",
+    "D": r"\P{Nd}",
+    "s": f"[{SPACE_CLASS}]",
+    "S": f"[^{SPACE_CLASS}]",
+    "Z": r"\z",
+    "A": r"\A",
+}
+_INSIDE = {"w": WORD_CLASS, "d": r"\p{Nd}", "s": SPACE_CLASS, "S": rf"\S&&[^{SPACE_CLASS}]"}
+#: Python-only or differently meant syntax: such patterns are run by Python itself.
+_UNSAFE = re.compile(r"\(\?P|\(\?\(|\(\?[aLx]|\\N\{|\\[1-9]|\$|\(\?#|\\Z")
+
+
+def is_portable(pattern: str) -> bool:
+    """Whether `to_java` keeps the meaning of a user's pattern; if not, it is run in Python."""
+    if _UNSAFE.search(pattern):
+        return False
+    body = re.sub(r"\\.", "", pattern)
+    return not re.search(r"\[[^\]]*(?:\[|&&|--|~~|\|\|)", body) and not re.search(r"\[\^?[^\]]*\\[WDSB]", pattern)
+
+
+def to_java(pattern: str, ignore_case: bool = False) -> str:
+    """The pattern with Unicode-aware classes and boundaries spelled out; ignore_case folds beyond ASCII as Python does."""
+    out, i, inside = [], 0, False
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\" and i + 1 < len(pattern):
+            e = pattern[i + 1]
+            out.append((_INSIDE if inside else _OUTSIDE).get(e, c + e))
+            i += 2
+            continue
+        if inside and c == "[":
+            c = r"\["
+        elif not inside and c == "[":
+            inside = True
+            if pattern[i + 1 : i + 2] == "^":
+                c, i = "[^", i + 1
+            if pattern[i + 1 : i + 2] == "]":
+                c, i = c + r"\]", i + 1
+        elif inside and c == "]":
+            inside = False
+        out.append(c)
+        i += 1
+    return ("(?iu)" if ignore_case else "") + "".join(out)
+
+
+def escape(text: str) -> str:
+    """A literal for either dialect."""
+    return re.sub(r"([\\.^$*+?{}\[\]|()\-])", r"\\\1", text)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,24 +17,45 @@ def none() -> Column:
     return F.array().cast(FINDINGS)
 
 
+#: Matches whose offsets are summed together; see `matches`.
+STEP = 256
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with value evaluated once per row however often body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def matches(text: Column, java: str) -> Column:
-    """array<struct<start,text>> of the matches, left to right.
+    """array<struct<start,text>> of the matches, left to right."""
+    return let(F.regexp_extract_all(text, F.lit(java), F.lit(0)), lambda hit: let(F.split(text, java, -1), lambda gap: offsets(hit, gap)))
 
-    Starts are running sums of the lengths of the gaps and matches before: `length` counts code points, whereas the
-    regex position functions count UTF-16 units.
+
+def offsets(hit: Column, gap: Column) -> Column:
+    """Places of matches, given these and the gaps around them.
+
+    Starts are sums of the lengths of the gaps and matches before: `length` counts code points, whereas the regex
+    position functions count UTF-16 units. Sums are kept for each run of STEP matches, so that a text full of matches
+    does not cost the square of their number.
     """
-    hits = F.regexp_extract_all(text, F.lit(java), F.lit(0))
-    gaps = F.split(text, java, -1)
-    begin = F.struct(F.lit(0).alias("pos"), F.array().cast(_PLACED).alias("out"))
+    zero = F.lit(0)
+    total = lambda xs: F.aggregate(xs, zero, lambda a, x: a + x)
+
+    def by_run(size: Column) -> Column:
+        runs = F.transform(F.sequence(zero, F.floor((F.size(hit) - 1) / STEP).cast("int")), lambda k: total(F.slice(size, k * STEP + 1, STEP)))
+
+        def starts(run: Column) -> Column:
+            def place(h: Column, i: Column) -> Column:
+                k = F.floor(i / STEP).cast("int")
+                before = total(F.slice(run, 1, k)) + total(F.slice(size, k * STEP + 1, i - k * STEP))
+                return F.struct((before + F.length(F.get(gap, i))).cast("int").alias("start"), h.alias("text"))
+
+            return F.transform(hit, place)
 
-    def step(acc: Column, pair: Column) -> Column:
-        at = acc["pos"] + F.length(pair["gap"])
-        placed = F.struct(at.cast("int").alias("start"), pair["hit"].alias("text"))
-        return F.struct((at + F.length(pair["hit"])).cast("int").alias("pos"), F.concat(acc["out"], F.array(placed)).alias("out"))
+        return let(runs, starts)
 
-    # The last gap has no match after it; zip pads it with a null hit, which the filter drops.
-    pairs = F.filter(F.zip_with(gaps, hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit"))), lambda p: p["hit"].isNotNull())
-    return F.aggregate(pairs, begin, step, lambda acc: acc["out"])
+    sizes = F.zip_with(gap, hit, lambda g, h: F.length(g) + F.coalesce(F.length(h), zero))
+    return F.when(F.size(hit) == 0, F.array().cast(_PLACED)).otherwise(let(sizes, by_run))
 
 
 def finding(scanner: str, score: float | Column, start: Column, text: Column, message: str | Column) -> Column:
@@ -65,10 +89,68 @@ def has_any(folded: Column, literals: tuple[str, ...]) -> Column:
     return out
 
 
-def pattern_findings(text: Column, java: str, scanner: str, score: float, message: str, gate: Column | None = None, keep=None) -> Column:
-    """Findings of a pattern where the gate holds; keep filters matched texts."""
-    placed = matches(text, java)
-    if keep is not None:
-        placed = F.filter(placed, lambda m: keep(m["text"]))
-    out = F.transform(placed, lambda m: finding(scanner, score, m["start"], m["text"], message)).cast(FINDINGS)
-    return F.when(gate if gate is not None else text.rlike(java), out).otherwise(none())
+@dataclass(frozen=True)
+class Probe:
+    """A pattern to look for: one row of the compiled rule table. keep filters matched texts; tag marks its findings.
+
+    A score of COUNTED stands for the word-list rule: score and message follow from the number of matches.
+    """
+
+    scanner: str
+    score: float
+    message: str
+    java: str
+    gate: Column | None = None
+    keep: Callable[[Column], Column] | None = None
+    tag: int = 0
+
+
+COUNTED = -1.0
+
+
+def compile_probes(text: Column, probes: list[Probe]) -> Column:
+    """array<struct<tag,f>>: findings of all probes in their order.
+
+    The rules share one expression for offsets; each adds only its gate, its extraction and its literals, so that a
+    policy of seventy rules stays a small plan.
+    """
+    if not probes:
+        return F.array().cast(f"array<struct<tag:int,f:{FINDING}>>")
+    rows = []
+    for k, p in enumerate(probes):
+        row = F.struct(
+            F.lit(p.scanner).alias("scanner"), F.lit(float(p.score)).alias("score"), F.lit(p.message).alias("message"), F.lit(p.tag).alias("tag"), F.lit(k).alias("rule"),
+            F.regexp_extract_all(text, F.lit(p.java), F.lit(0)).alias("hits"), F.split(text, p.java, -1).alias("gaps"),
+        )
+        rows.append(F.when(p.gate if p.gate is not None else text.rlike(p.java), row))
+
+    def findings(r: Column) -> Column:
+        n = F.size(r["hits"])
+        score = F.when(r["score"] < 0, F.round(F.least(F.lit(0.95), F.lit(0.4) + F.lit(0.15) * n), 2)).otherwise(r["score"])
+        message = F.when(r["score"] < 0, F.concat(r["message"], n.cast("string"), F.lit(" hit(s) in text)"))).otherwise(r["message"])
+
+        def one(m: Column) -> Column:
+            f = F.struct(r["scanner"].alias("scanner"), score.alias("score"), m["start"].alias("start"), (m["start"] + F.length(m["text"])).alias("end"), m["text"].alias("matched_text"), message.alias("message"))
+            return F.struct(r["tag"].alias("tag"), r["rule"].alias("rule"), f.alias("f"))
+
+        return F.transform(offsets(r["hits"], r["gaps"]), one)
+
+    out = F.flatten(F.transform(F.array_compact(F.array(*rows)), findings))
+    if any(p.keep is not None for p in probes):
+
+        def kept(x: Column) -> Column:
+            ok = F.lit(True)
+            for k, p in enumerate(probes):
+                if p.keep is not None:
+                    ok = F.when(x["rule"] == k, p.keep(x["f"]["matched_text"])).otherwise(ok)
+            return ok
+
+        out = F.filter(out, kept)
+    return F.transform(out, lambda x: F.struct(x["tag"].alias("tag"), x["f"].alias("f"))).cast(f"array<struct<tag:int,f:{FINDING}>>")
+
+
+def untagged(tagged: Column, tag: int | None = None) -> Column:
+    """The findings of a tag, or of all."""
+    if tag is not None:
+        tagged = F.filter(tagged, lambda x: x["tag"] == tag)
+    return F.transform(tagged, lambda x: x["f"]).cast(FINDINGS)

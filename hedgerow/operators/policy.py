@@ -8,13 +8,14 @@ Null texts have no findings, aren't blocked and stay null.
 from __future__ import annotations
 
 import json
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.normalize import normalized
-from ..functions.spans import FINDING, FINDINGS, none
-from .scanners import REGISTRY, Exfiltration, Pii, Scanner, Secrets, Text, default_scanners, fold, full_scanners, renamed
+from ..functions.spans import FINDING, FINDINGS, Probe, compile_probes, none, untagged
+from .scanners import REGISTRY, Exfiltration, Pii, Probing, Scanner, Secrets, Text, _by_python, default_scanners, fold, full_scanners, renamed, user_probes
 
 COLLECT_ALL, FAIL_FAST = "collect_all", "fail_fast"
 
@@ -76,9 +77,9 @@ class Policy:
         else:
             df = df.withColumn("_clean", text)
         df = df.withColumn("_low", fold(F.col("_clean")))
-        shared, names = self._columns(df, text, clean)
-        df = df.select("*", *[c.alias(f"_s{k}") for k, c in enumerate(shared)])
-        found = [n() for n in names]
+        probes, columns_, found = self._compile(text)
+        tagged = compile_probes(F.col("_clean"), probes)
+        df = df.withColumns({"_p": F.coalesce(self._remapped(tagged, text) if clean else tagged, compile_probes(text, []))} | columns_)
         if self.mode == COLLECT_ALL:
             every = F.concat(*found) if found else none()
         else:
@@ -91,50 +92,54 @@ class Policy:
             df = df.withColumn("redacted_text", redact_spans(text, F.col("findings"), self.placeholders))
         return df.select(*columns, "findings", "blocked", *(["redacted_text"] if redact else []))
 
-    def _columns(self, df: DataFrame, text: Column, clean: bool) -> tuple[list[Column], list]:
-        """Columns to compute first, and for each scanner its findings by these: pii and secrets are worked out once."""
-        cols: list[Column] = []
-        names = []
-        at: dict[str, int] = {}
-        norm, raw = Text(F.col("_clean"), F.col("_low")), Text(text, fold(text))
+    def _compile(self, text: Column) -> tuple[list[Probe], dict[str, Column], list[Column]]:
+        """Probes of all pattern scanners, further columns to compute, and each scanner's findings by these.
 
-        def put(c: Column) -> int:
-            cols.append(F.coalesce(c, none()))
-            return len(cols) - 1
+        pii and secrets are worked out once, however many scanners report them.
+        """
+        norm, raw = Text(F.col("_clean"), F.col("_low")), Text(text, fold(text))
+        probes: list[Probe] = []
+        columns: dict[str, Column] = {}
+        found: list[Column] = []
+        tags: dict[str, int] = {}
 
-        def share(s: Scanner) -> int:
+        def tag_of(s: Probing) -> int:
             kind = f"{type(s).__name__}{vars(s)}"
-            if kind not in at:
-                at[kind] = put(self._remapped(s.scan(norm), text) if clean else s.scan(norm))
-            return at[kind]
-
-        for s in self.scanners:
-            if type(s) in (Pii, Secrets):
-                k = share(s)
-                names.append(lambda k=k: F.col(f"_s{k}"))
-            elif type(s) is Exfiltration:
-                own = s.scan(norm, none(), none())
-                k, a, b = put(self._remapped(own, text) if clean else own), share(s.secrets), share(s.pii)
-                names.append(lambda k=k, a=a, b=b, n=s.name: F.concat(F.col(f"_s{k}"), renamed(F.concat(F.col(f"_s{a}"), F.col(f"_s{b}")), n)))
+            if kind not in tags or type(s) not in (Pii, Secrets):
+                tags[kind] = len(tags) + len(probes) + 1
+                probes.extend(replace(p, tag=tags[kind]) for p in s.probes(norm))
+            return tags[kind]
+
+        for k, s in enumerate(self.scanners):
+            takes_norm = getattr(s, "normalize_input", True)
+            by_python = isinstance(s, Secrets | Exfiltration) and _by_python(norm, s.extra, s.name) or getattr(s, "patterns", None) and user_probes(s.patterns, s.name) is None
+            if isinstance(s, Probing) and takes_norm and not by_python:
+                if type(s) is Exfiltration:
+                    subs = F.concat(untagged(F.col("_p"), tag_of(s.secrets)), untagged(F.col("_p"), tag_of(s.pii)))
+                    found.append(F.concat(untagged(F.col("_p"), tag_of(s)), renamed(subs, s.name)))
+                else:
+                    found.append(untagged(F.col("_p"), tag_of(s)))
             else:
-                takes_norm = getattr(s, "normalize_input", True)
                 c = s.scan(norm if takes_norm else raw)
-                k = put(self._remapped(c, text) if clean and takes_norm else c)
-                names.append(lambda k=k: F.col(f"_s{k}"))
-        return cols, names
+                if takes_norm and self.normalize:
+                    c = untagged(self._remapped(F.transform(c, lambda f: F.struct(F.lit(0).alias("tag"), f.alias("f"))), text))
+                columns[f"_s{k}"] = F.coalesce(c, none())
+                found.append(F.col(f"_s{k}"))
+        return probes, columns, found
 
     @staticmethod
-    def _remapped(findings: Column, text: Column) -> Column:
+    def _remapped(tagged: Column, text: Column) -> Column:
         """Offsets in the normalized text as offsets in the original, whose text the findings then show."""
         places = F.col("_norm.places")
 
-        def move(f: Column) -> Column:
+        def move(x: Column) -> Column:
+            f = x["f"]
             start, end = F.get(places, f["start"]), F.get(places, f["end"] - 1) + 1
             moved = F.struct(f["scanner"].alias("scanner"), f["score"].alias("score"), start.alias("start"), end.alias("end"), F.substring(text, start + 1, end - start).alias("matched_text"), f["message"].alias("message"))
             ok = (f["start"] >= 0) & (f["start"] < f["end"]) & (f["end"] <= F.size(places))
-            return F.when(ok, moved).otherwise(f)
+            return F.struct(x["tag"].alias("tag"), F.when(ok, moved).otherwise(f).alias("f"))
 
-        return F.when(places.isNotNull(), F.transform(findings, move).cast(FINDINGS)).otherwise(findings)
+        return F.when(places.isNotNull(), F.transform(tagged, move)).otherwise(tagged)
 
     def blocks(self, findings: Column) -> Column:
         """Whether some finding reaches its scanner's threshold."""

@@ -19,7 +19,7 @@ from ..functions import rules as R
 from ..functions.normalize import normalize_with_map
 from ..functions.regex import escape, is_portable, to_java
 from ..functions.scalars import card_valid, estimate_tokens, jwt_valid, looks_random, registered_domain, shannon_entropy, ssn_valid, url_host, url_netloc
-from ..functions.spans import FINDINGS, finding, has_any, matches, none, pattern_findings, whole_text
+from ..functions.spans import COUNTED, FINDINGS, Probe, compile_probes, finding, has_any, matches, none, untagged, whole_text
 
 
 def fold(text: Column) -> Column:
@@ -47,27 +47,53 @@ class Scanner:
         raise NotImplementedError
 
 
-def rule_findings(t: Text, rule: R.Rule, scanner: str, keep=None) -> Column:
-    gate = has_any(t.folded, rule.needs) if rule.needs else None
-    return pattern_findings(t.text, to_java(rule.pattern, rule.ignore_case), scanner, rule.score, rule.message, gate, keep)
+class Probing(Scanner):
+    """A scanner that is a list of patterns; policies compile those of all such scanners together."""
+
+    def probes(self, t: Text) -> list[Probe]:
+        raise NotImplementedError
+
+    def scan(self, t: Text) -> Column:
+        return untagged(compile_probes(t.text, self.probes(t)))
+
+
+def rule_probe(t: Text, rule: R.Rule, scanner: str, keep=None, gate: Column | None = None) -> Probe:
+    gate = has_any(t.folded, rule.needs) if rule.needs and gate is None else gate
+    return Probe(scanner, rule.score, rule.message, to_java(rule.pattern, rule.ignore_case), gate, keep)
+
+
+def _java(pattern: str) -> str:
+    flags, body = re.match(r"(?:\(\?([ims]+)\))?(.*)", pattern, re.S).groups()
+    rest = "".join(f for f in flags or "" if f != "i")
+    return (f"(?{rest})" if rest else "") + to_java(body, "i" in (flags or ""))
+
+
+def user_matches(t: Text, pattern: str) -> Column:
+    """Whether a user's pattern occurs."""
+    re.compile(pattern)
+    if is_portable(pattern):
+        return t.text.rlike(_java(pattern))
+
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        rx = re.compile(pattern)
+        for s in texts:
+            yield s.map(lambda x: x is not None and rx.search(x) is not None)
+
+    return F.pandas_udf(run, "boolean")(t.text)
 
 
 def user_findings(t: Text, pattern: str, scanner: str, score: float, message: str) -> Column:
     """A pattern given by the user, in Python's dialect: native where it means the same, else run by Python."""
     re.compile(pattern)
     if is_portable(pattern):
-        flags, body = re.match(r"(?:\(\?([ims]+)\))?(.*)", pattern, re.S).groups()
-        java = to_java(body, "i" in (flags or ""))
-        rest = "".join(f for f in flags or "" if f != "i")
-        return pattern_findings(t.text, f"(?{rest})" + java if rest else java, scanner, score, message)
+        return untagged(compile_probes(t.text, [Probe(scanner, score, message, _java(pattern))]))
 
-    @F.pandas_udf("array<struct<start:int,text:string>>")
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         rx = re.compile(pattern)
         for s in texts:
             yield s.map(lambda x: [] if x is None else [{"start": m.start(), "text": m.group()} for m in rx.finditer(x)])
 
-    return F.transform(run(t.text), lambda m: finding(scanner, score, m["start"], m["text"], message)).cast(FINDINGS)
+    return placed_findings(F.pandas_udf(run, "array<struct<start:int,text:string>>")(t.text), scanner, score, message)
 
 
 def placed_findings(placed: Column, scanner: str, score: float, message: str) -> Column:
@@ -83,17 +109,29 @@ def concat(parts: list[Column]) -> Column:
     return F.concat(*parts) if parts else none()
 
 
-class _Rules(Scanner):
+def user_probes(rows: list[tuple[str, float, str]], scanner: str) -> list[Probe] | None:
+    """Probes of users' patterns; None if one of them has to be run by Python."""
+    for p, _, _ in rows:
+        re.compile(p)
+    return [Probe(scanner, score, message, _java(p)) for p, score, message in rows] if all(is_portable(p) for p, _, _ in rows) else None
+
+
+class _Rules(Probing):
     default: tuple[R.Rule, ...] = ()
 
     def __init__(self, patterns=None):
         """patterns: rows (pattern, score, message) instead of the built-in rules; an empty list matches nothing."""
-        self.patterns = patterns
+        self.patterns = None if patterns is None else [("(?i)" + p, score, message) for p, score, message in patterns]
 
-    def scan(self, t: Text) -> Column:
+    def probes(self, t: Text) -> list[Probe]:
         if self.patterns is None:
-            return concat([rule_findings(t, r, self.name) for r in self.default])
-        return concat([user_findings(t, "(?i)" + p, self.name, score, message) for p, score, message in self.patterns])
+            return [rule_probe(t, r, self.name) for r in self.default]
+        return user_probes(self.patterns, self.name) or []
+
+    def scan(self, t: Text) -> Column:
+        if self.patterns and user_probes(self.patterns, self.name) is None:
+            return concat([user_findings(t, p, self.name, score, message) for p, score, message in self.patterns])
+        return super().scan(t)
 
 
 class PromptInjection(_Rules):
@@ -104,14 +142,14 @@ class PromptLeak(_Rules):
     name, default = "prompt_leak", R.PROMPT_LEAK
 
 
-class CodeExecution(Scanner):
+class CodeExecution(Probing):
     name = "code_execution"
 
-    def scan(self, t: Text) -> Column:
-        return concat([rule_findings(t, r, self.name) for r in R.CODE_EXECUTION])
+    def probes(self, t: Text) -> list[Probe]:
+        return [rule_probe(t, r, self.name) for r in R.CODE_EXECUTION]
 
 
-class BanTopics(Scanner):
+class BanTopics(Probing):
     """A finding for every occurrence of every phrase of topics: {topic: [phrase]}."""
 
     name = "ban_topics"
@@ -119,20 +157,16 @@ class BanTopics(Scanner):
     def __init__(self, topics: dict[str, list[str]] | None = None):
         self.topics = {k: list(v) for k, v in (R.DEFAULT_TOPICS if topics is None else topics).items()}
 
-    def scan(self, t: Text) -> Column:
+    def probes(self, t: Text) -> list[Probe]:
         out = []
         for topic, phrases in self.topics.items():
             for p in phrases:
-                java = to_java(rf"\b{escape(p)}\b", True)
                 gate = F.contains(t.folded, F.lit(p.lower())) if p.isascii() else None
-                placed = matches(t.text, java)
-                say = f"Banned topic '{topic}': matched {p!r}"
-                found = placed_findings(placed, self.name, 0.7, say)
-                out.append(F.when(gate if gate is not None else t.text.rlike(java), found).otherwise(none()))
-        return concat(out)
+                out.append(Probe(self.name, 0.7, f"Banned topic '{topic}': matched {p!r}", to_java(rf"\b{escape(p)}\b", True), gate))
+        return out
 
 
-class Toxicity(Scanner):
+class Toxicity(Probing):
     """Listed words; the score of each grows with the number of hits in the text."""
 
     name = "toxicity"
@@ -140,22 +174,13 @@ class Toxicity(Scanner):
     def __init__(self, words=None):
         self.words = sorted(R.PROFANITY if words is None else words, key=lambda w: (-len(w), w))
 
-    def scan(self, t: Text) -> Column:
+    def probes(self, t: Text) -> list[Probe]:
         if not self.words:
-            return none()
+            return []
         java = to_java(r"\b(?:" + "|".join(map(escape, self.words)) + r")\b", True)
         roots = [w for w in self.words if not any(v != w and v in w for v in self.words)]
-        gate = has_any(t.folded, tuple(w.lower() for w in roots)) if all(w.isascii() for w in roots) else t.text.rlike(java)
-
-        def found(placed: Column) -> Column:
-            n = F.size(placed)
-            score = F.round(F.least(F.lit(0.95), F.lit(0.4) + F.lit(0.15) * n), 2)
-            message = F.concat(F.lit("Profanity ("), n.cast("string"), F.lit(" hit(s) in text)"))
-            return F.transform(placed, lambda m: finding(self.name, score, m["start"], m["text"], message)).cast(FINDINGS)
-
-        # The list is bound once, so that its size is not worked out again for each of its members.
-        bound = F.element_at(F.transform(F.array(matches(t.text, java)), found), 1)
-        return F.when(gate, bound).otherwise(none())
+        gate = has_any(t.folded, tuple(w.lower() for w in roots)) & t.text.rlike(java) if all(w.isascii() for w in roots) else None
+        return [Probe(self.name, COUNTED, "Profanity (", java, gate)]
 
 
 class Regex(Scanner):
@@ -171,28 +196,23 @@ class Regex(Scanner):
     def scan(self, t: Text) -> Column:
         out = [user_findings(t, p, self.name, 0.8, f"Forbidden pattern matched: {p!r}") for p in self.forbidden]
         for p in self.required:
-            hits = user_findings(t, p, self.name, 0.8, "")
-            out.append(F.when(F.size(hits) == 0, whole_text(self.name, 0.8, t.text, f"Required pattern not found: {p!r}")).otherwise(none()))
+            out.append(F.when(~user_matches(t, p), whole_text(self.name, 0.8, t.text, f"Required pattern not found: {p!r}")).otherwise(none()))
         return concat(out)
 
 
-class Pii(Scanner):
+class Pii(Probing):
     """Email, phone, US Social Security and payment card numbers, in this order."""
 
     name = "pii"
 
-    def scan(self, t: Text) -> Column:
+    def probes(self, t: Text) -> list[Probe]:
         digits = t.text.rlike(r"\p{Nd}{3}")
-
-        def numbers(rule: R.Rule, gate: Column, keep=None) -> Column:
-            return pattern_findings(t.text, to_java(rule.pattern), self.name, rule.score, rule.message, gate, keep)
-
-        return concat([
-            rule_findings(t, R.EMAIL, self.name),
-            numbers(R.PHONE, digits),
-            numbers(R.SSN, digits & F.contains(t.text, F.lit("-")), ssn_valid),
-            numbers(R.CARD, digits, card_valid),
-        ])
+        return [
+            rule_probe(t, R.EMAIL, self.name),
+            rule_probe(t, R.PHONE, self.name, gate=digits),
+            rule_probe(t, R.SSN, self.name, ssn_valid, digits & F.contains(t.text, F.lit("-"))),
+            rule_probe(t, R.CARD, self.name, card_valid, digits),
+        ]
 
 
 class UrlAllowlist(Scanner):
@@ -233,27 +253,33 @@ class TokenLimit(Scanner):
         return F.when(n > self.max_tokens, whole_text(self.name, 0.9, t.text, message)).otherwise(none())
 
 
-class Secrets(Scanner):
+class Secrets(Probing):
     """Credentials by their public shapes, labelled assignments, and (entropy_scan) unlabelled random-looking tokens."""
 
     name = "secrets"
 
     def __init__(self, extra_patterns=None, entropy_scan: bool = True):
-        """extra_patterns: rows (label, pattern, score)."""
+        """extra_patterns: rows (label, pattern, score), in the dialect that both Python and Spark read alike."""
         self.extra, self.entropy_scan = list(extra_patterns or []), entropy_scan
 
+    def probes(self, t: Text) -> list[Probe]:
+        out = [rule_probe(t, r, self.name) for r in R.SECRETS]
+        out += [rule_probe(t, R.JWT, self.name, jwt_valid), rule_probe(t, R.ASSIGNMENT, self.name)]
+        out += user_probes([(p, score, label) for label, p, score in self.extra], self.name) or []
+        return out + ([rule_probe(t, R.RANDOM_TOKEN, self.name, looks_random)] if self.entropy_scan else [])
+
     def scan(self, t: Text) -> Column:
-        out = [rule_findings(t, r, self.name) for r in R.SECRETS]
-        out.append(rule_findings(t, R.JWT, self.name, jwt_valid))
-        out.append(rule_findings(t, R.ASSIGNMENT, self.name))
-        out += [user_findings(t, p, self.name, score, label) for label, p, score in self.extra]
-        if self.entropy_scan:
-            r = R.RANDOM_TOKEN
-            out.append(pattern_findings(t.text, r.pattern, self.name, r.score, r.message, None, lambda x: looks_random(x)))
-        return concat(out)
+        return concat([super().scan(t), *_by_python(t, self.extra, self.name)])
 
 
-class Exfiltration(Scanner):
+def _by_python(t: Text, extra: list, scanner: str) -> list[Column]:
+    """Findings of extra patterns, where one of them has to be run by Python."""
+    if user_probes([(p, score, label) for label, p, score in extra], scanner) is not None:
+        return []
+    return [user_findings(t, p, scanner, score, label) for label, p, score in extra]
+
+
+class Exfiltration(Probing):
     """Disclosure in output: its own rules, and the findings of secrets and pii under its name."""
 
     name = "exfiltration"
@@ -261,12 +287,13 @@ class Exfiltration(Scanner):
     def __init__(self, extra_patterns=None, entropy_scan: bool = True):
         self.extra, self.secrets, self.pii = list(extra_patterns or []), Secrets(extra_patterns, entropy_scan), Pii()
 
-    def scan(self, t: Text, secrets: Column | None = None, pii: Column | None = None) -> Column:
-        """secrets, pii: findings already at hand for the same text."""
-        own = [rule_findings(t, r, self.name) for r in R.EXFILTRATION]
-        own += [user_findings(t, p, self.name, score, label) for label, p, score in self.extra]
-        subs = concat([self.secrets.scan(t) if secrets is None else secrets, self.pii.scan(t) if pii is None else pii])
-        return concat([*own, renamed(subs, self.name)])
+    def probes(self, t: Text) -> list[Probe]:
+        """Its own rules only."""
+        return [rule_probe(t, r, self.name) for r in R.EXFILTRATION] + (user_probes([(p, score, label) for label, p, score in self.extra], self.name) or [])
+
+    def scan(self, t: Text) -> Column:
+        subs = concat([self.secrets.scan(t), self.pii.scan(t)])
+        return concat([super().scan(t), *_by_python(t, self.extra, self.name), renamed(subs, self.name)])
 
 
 _VOWELS = str.maketrans("", "", "aeiouAEIOU")

@@ -1 +1,314 @@
+"""The library's queries over the driver's tables, with DuckDB SQL for those that SQL can express."""
 
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import rules as R
+from ..functions.normalize import CONFUSABLES, STRIPPED, translate_confusables
+from ..functions.scalars import estimate_tokens, shannon_entropy
+from ..operators import guards, transforms
+from ..operators import scanners as S
+from ..operators.evaluate import confusion, policy_accuracy, scan_cases
+from ..operators.policy import FAIL_FAST, Policy, explode_findings, fired, summary
+from ..streaming import block_rate, guard_files
+from .fixtures import CASES, TOXIC_WORDS
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text): documents, and the literal cases under negative ids."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    fixed = spark.createDataFrame([(-1 - i, t) for i, (_, t, _) in enumerate(CASES)], "doc_id long, text string")
+    return docs.unionByName(fixed)
+
+
+def _sql(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+TEXTS = "(SELECT doc_id, text FROM documents UNION ALL SELECT * FROM (VALUES " + ", ".join(f"({-1 - i}, {_sql(t)})" for i, (_, t, _) in enumerate(CASES)) + ") AS v(doc_id, text))"
+
+
+def counts(scanner: S.Scanner):
+    """Query: texts in which a scanner called directly finds something, with the number of findings."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = texts(spark, sf_dir)
+        return t.select("doc_id", F.size(scanner.scan(S.of(F.col("text")))).cast("long").alias("n")).where("n > 0")
+
+    return run
+
+
+def _count_sql(patterns: list[str]) -> str:
+    n = " + ".join(f"len(regexp_extract_all(text, {_sql(p)}))" for p in patterns)
+    return f"SELECT doc_id, ({n})::BIGINT AS n FROM {TEXTS} WHERE ({n}) > 0"
+
+
+def _re2(r: R.Rule) -> str:
+    p = r.pattern.replace(r"(?<![\w.])\b", r"(?:^|[^\w.])")
+    return ("(?i)" if r.ignore_case else "") + p
+
+
+DOUBLED = r"regexp_replace(text, '([^0-9])', '\1\1', 'g')"
+_SEP = r"(?:--|\.\.|\s\s)?"
+PHONE2 = rf"(?:^|[^0-9])(?:(?:\+\+)?1{_SEP})?(?:\(\()?[0-9]{{3}}(?:\)\))?{_SEP}[0-9]{{3}}{_SEP}[0-9]{{4}}(?:[^0-9]|$)"
+CARD2 = r"(?:^|[^0-9])([0-9](?:(?:  |--)?[0-9]){12,18})(?:[^0-9]|$)"
+SSN2 = r"(?:^|[^0-9])([0-9]{3}--[0-9]{2}--[0-9]{4})(?:[^0-9]|$)"
+LUHN = (
+    "list_sum(list_transform(range(1, length(x) + 1), lambda i: CASE WHEN (length(x) - i) % 2 = 1 THEN "
+    "(2 * substr(x, i, 1)::INT) // 10 + (2 * substr(x, i, 1)::INT) % 10 ELSE substr(x, i, 1)::INT END)) % 10 = 0"
+)
+CARDS = f"list_filter(list_transform(regexp_extract_all({DOUBLED}, {_sql(CARD2)}, 1), lambda c: regexp_replace(c, '[^0-9]', '', 'g')), lambda x: {LUHN})"
+SSNS = (
+    f"list_filter(list_transform(regexp_extract_all({DOUBLED}, {_sql(SSN2)}, 1), lambda c: replace(c, '-', '')), lambda x: "
+    "substr(x, 1, 3) NOT IN ('000', '666') AND substr(x, 1, 3) < '900' AND substr(x, 4, 2) <> '00' AND substr(x, 6, 4) <> '0000')"
+)
+EMAIL_RX = R.EMAIL.pattern
+N_EMAIL = f"len(regexp_extract_all(text, {_sql(EMAIL_RX)}))"
+N_PHONE = f"len(regexp_extract_all({DOUBLED}, {_sql(PHONE2)}))"
+N_PII = f"({N_EMAIL} + {N_PHONE} + len({CARDS}) + len({SSNS}))"
+
+
+def pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of each kind in each text that has any."""
+    f = explode_findings(Policy([S.Pii()], normalize=False).apply(texts(spark, sf_dir)))
+    kind = lambda m: F.count_if(F.col("message") == m)
+    return f.groupBy("doc_id").agg(kind(R.EMAIL.message).alias("emails"), kind(R.PHONE.message).alias("phones"), kind(R.CARD.message).alias("cards"), kind(R.SSN.message).alias("ssns"))
+
+
+def redact_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts blocked for personal data, redacted."""
+    judged = Policy([S.Pii()]).apply(table(spark, sf_dir, "documents"), redact=True).where("blocked")
+    return judged.select("doc_id", F.size("findings").cast("long").alias("n_findings"), "redacted_text")
+
+
+def redact_email(spark: SparkSession, sf_dir: str) -> DataFrame:
+    policy = Policy([S.Regex(forbidden=[EMAIL_RX])], normalize=False, placeholders={"regex": "[EMAIL]"})
+    return policy.apply(texts(spark, sf_dir), redact=True).where("blocked").select("doc_id", "redacted_text")
+
+
+def token_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = Policy([S.TokenLimit(2000)], normalize=False).apply(texts(spark, sf_dir)).where("blocked")
+    return judged.select("doc_id", estimate_tokens(F.col("text")).cast("long").alias("tokens"), F.get("findings", F.lit(0))["end"].cast("long").alias("end"))
+
+
+def char_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entropy of each text's characters, white space removed."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield s.map(lambda t: shannon_entropy("".join(c for c in t if c not in " \t\n\r\x0b\x0c")) if t is not None else None)
+
+    return texts(spark, sf_dir).select("doc_id", F.round(F.pandas_udf(run, "double")("text"), 6).alias("entropy"))
+
+
+def consonant_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean share of consonants over the words of four letters or more."""
+    w = F.regexp_extract_all("text", F.lit("[A-Za-z]{4,}"), F.lit(0))
+    share = lambda x: F.length(F.regexp_replace(x, "[aeiouAEIOU]", "")) / F.length(x)
+    total = F.aggregate(F.transform("w", share), F.lit(0.0), lambda a, x: a + x)
+    got = texts(spark, sf_dir).select("doc_id", w.alias("w")).where(F.size("w") > 0)
+    return got.select("doc_id", F.size("w").cast("long").alias("words"), F.round(total / F.size("w"), 6).alias("ratio"))
+
+
+def url_allowlist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = Policy([S.UrlAllowlist(["example.com"])], normalize=False).apply(table(spark, sf_dir, "pages").select("page_id", "url"), "url")
+    return judged.where("blocked").select("page_id", F.get("findings", F.lit(0))["message"].alias("message"))
+
+
+def random_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unlabelled random-looking tokens."""
+    f = explode_findings(Policy([S.Secrets()], normalize=False).apply(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return f.where(F.col("message") == R.RANDOM_TOKEN.message).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+def normalized_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return texts(spark, sf_dir).select("doc_id", translate_confusables(F.col("text")).alias("text"))
+
+
+def fullwidth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return texts(spark, sf_dir).select("doc_id", transforms.to_fullwidth(F.col("text")).alias("text"))
+
+
+def homoglyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return texts(spark, sf_dir).select("doc_id", transforms.homoglyph_swap(F.col("text")).alias("text"))
+
+
+def evasion_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of the personal-data policy on each text disguised in every way."""
+    t = texts(spark, sf_dir)
+    every = t.withColumn("how", F.lit("clean"))
+    for k, fn in transforms.TRANSFORMS.items():
+        every = every.unionByName(t.withColumn("text", fn(F.col("text"))).withColumn("how", F.lit(k)))
+    judged = Policy([S.Pii()]).apply(every)
+    return judged.groupBy("how").agg(F.count("*").alias("texts"), F.count_if("blocked").alias("blocked"))
+
+
+def verdict_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = Policy([S.Pii()]).apply(table(spark, sf_dir, "documents").select("lang", "source", "text"))
+    return judged.rollup("lang", "source").agg(F.count("*").alias("texts"), F.count_if("blocked").alias("blocked"))
+
+
+def toxic_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A word-list detector against the toxic labels."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").join(table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id")
+    found = F.size(S.Toxicity(TOXIC_WORDS).scan(S.of(F.col("text")))) > 0
+    rows = docs.select(F.lit("toxicity").alias("scanner"), found.alias("found"), (F.col("toxic") == 1).alias("expected"))
+    return confusion(rows).where("scanner is not null").select("cases", "tp", "fp", "tn", "fn", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
+
+
+def conversation_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = Policy([S.Pii()])
+    return guards.guard_conversations(table(spark, sf_dir, "conversations"), p, p)
+
+
+def conversation_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = guards.guard_joined(table(spark, sf_dir, "conversations"), Policy([S.Pii()]))
+    return judged.select("conv_id", "blocked", F.length("text").cast("long").alias("chars"))
+
+
+def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as chat request payloads, and their texts taken out again."""
+    turns = table(spark, sf_dir, "conversations")
+    message = F.struct("role", F.col("text").alias("content"))
+    body = F.to_json(F.struct(F.collect_list(message).alias("messages"))).alias("payload")
+    return guards.guard_payloads(turns.groupBy(F.col("conv_id").alias("id")).agg(body), Policy([S.Pii()]), "payload").select("id", "blocked", F.size("scanners").cast("long").alias("n_scanners"))
+
+
+def event_block_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").select("ts", "event_type")
+    judged = Policy([S.Regex(forbidden=[r"\bpurchase\b"])], normalize=False).apply(events, "event_type")
+    return block_rate(judged, "ts", "1 day")
+
+
+def policy_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = Policy.default().apply(texts(spark, sf_dir), redact=True)
+    return judged.select("doc_id", "blocked", F.size("findings").cast("long").alias("n_findings"), summary(F.col("findings")).alias("reasons"), "redacted_text")
+
+
+def policy_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = Policy.full().apply(texts(spark, sf_dir), redact=True)
+    return judged.select("doc_id", "blocked", F.size("findings").cast("long").alias("n_findings"), fired(F.col("findings")).alias("scanners"), "redacted_text")
+
+
+def policy_fail_fast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only the first scanner with findings reports."""
+    policy = Policy([S.TokenLimit(2000), S.Pii()], mode=FAIL_FAST, normalize=False)
+    judged = policy.apply(texts(spark, sf_dir)).where("blocked")
+    return judged.select("doc_id", fired(F.col("findings"))[0].alias("scanner"))
+
+
+def policy_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A policy from a config: the phone rule's score of 0.7 stays below the threshold."""
+    policy = Policy.from_dict({"scanners": [{"name": "pii", "threshold": 0.85}], "normalize": False})
+    return policy.apply(texts(spark, sf_dir)).where("blocked").select("doc_id")
+
+
+def case_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Precision and recall of every scanner on the literal cases."""
+    cases = spark.createDataFrame(list(CASES), "scanner string, text string, expected boolean")
+    return confusion(scan_cases(cases))
+
+
+def case_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = ("prompt_injection", "pii", "toxicity", "ban_topics", "code_execution", "obfuscation", "prompt_leak", "exfiltration", "secrets", "gibberish")
+    cases = spark.createDataFrame([c for c in CASES if c[0] in kinds], "category string, text string, expected boolean")
+    return policy_accuracy(cases, Policy.full())
+
+
+def stream_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents read as a stream of files: blocked ones."""
+    import tempfile
+    import uuid
+
+    base = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()).rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    schema = table(spark, sf_dir, "documents").schema
+    q = guard_files(spark, f"{sf_dir}/documents.parquet*", schema.simpleString()[7:-1].replace(":", " "), Policy([S.Pii()]), base + "/out", base + "/state")
+    q.awaitTermination()
+    return spark.read.parquet(base + "/out").where("blocked").select("doc_id")
+
+
+QUERIES = {
+    "redact_pii": redact_pii,
+    "redact_email": redact_email,
+    "pii_counts": pii_counts,
+    "prompt_injection": counts(S.PromptInjection()),
+    "prompt_leak": counts(S.PromptLeak()),
+    "code_execution": counts(S.CodeExecution()),
+    "ban_topics": counts(S.BanTopics()),
+    "toxicity": counts(S.Toxicity()),
+    "regex_rules": counts(S.Regex(forbidden=[r"\bclassified\b"], required=[r"[a-z]"])),
+    "obfuscation": counts(S.Obfuscation()),
+    "gibberish": counts(S.Gibberish()),
+    "exfiltration": counts(S.Exfiltration()),
+    "secrets": counts(S.Secrets()),
+    "token_limit": token_limit,
+    "char_entropy": char_entropy,
+    "consonant_ratio": consonant_ratio,
+    "url_allowlist": url_allowlist,
+    "random_tokens": random_tokens,
+    "normalized_text": normalized_text,
+    "fullwidth": fullwidth,
+    "homoglyphs": homoglyphs,
+    "evasion_round_trip": evasion_round_trip,
+    "verdict_by_lang": verdict_by_lang,
+    "toxic_confusion": toxic_confusion,
+    "conversation_rollup": conversation_rollup,
+    "conversation_joined": conversation_joined,
+    "payloads": payloads,
+    "event_block_rate": event_block_rate,
+    "policy_default": policy_default,
+    "policy_full": policy_full,
+    "policy_fail_fast": policy_fail_fast,
+    "policy_config": policy_config,
+    "case_accuracy": case_accuracy,
+    "case_policy": case_policy,
+    "stream_pii": stream_pii,
+}
+
+_WORDS = lambda ws: r"(?i)\b(?:" + "|".join(sorted(ws, key=lambda w: (-len(w), w))) + r")\b"
+_LOOK = "".join(CONFUSABLES) + STRIPPED
+_TOX = f"regexp_matches(text, {_sql(_WORDS(TOXIC_WORDS))})"
+_ENTROPY = """
+SELECT {id}, -sum(c / n * log2(c / n)) AS e FROM
+  (SELECT {id}, ch, count(*)::DOUBLE AS c, (sum(count(*)) OVER (PARTITION BY {id}))::DOUBLE AS n FROM {src} GROUP BY {id}, ch) GROUP BY {id}
+"""
+
+ORACLES = {
+    "redact_email": f"SELECT doc_id, regexp_replace(text, {_sql(EMAIL_RX)}, '[EMAIL]', 'g') AS redacted_text FROM {TEXTS} WHERE {N_EMAIL} > 0",
+    "pii_counts": f"SELECT doc_id, {N_EMAIL}::BIGINT AS emails, {N_PHONE}::BIGINT AS phones, len({CARDS})::BIGINT AS cards, len({SSNS})::BIGINT AS ssns FROM {TEXTS} WHERE {N_PII} > 0",
+    "prompt_injection": _count_sql([_re2(r) for r in R.PROMPT_INJECTION]),
+    "prompt_leak": _count_sql([_re2(r) for r in R.PROMPT_LEAK]),
+    "code_execution": _count_sql([_re2(r) for r in R.CODE_EXECUTION]),
+    "ban_topics": _count_sql([rf"(?i)\b{p}\b" for ps in R.DEFAULT_TOPICS.values() for p in ps]),
+    "toxicity": _count_sql([_WORDS(R.PROFANITY)]),
+    "regex_rules": f"SELECT doc_id, n FROM (SELECT doc_id, (len(regexp_extract_all(text, '\\bclassified\\b')) + CASE WHEN regexp_matches(text, '[a-z]') THEN 0 ELSE 1 END)::BIGINT AS n FROM {TEXTS}) WHERE n > 0",
+    "token_limit": f"SELECT doc_id, greatest(1, length(text) // 4)::BIGINT AS tokens, length(text)::BIGINT AS \"end\" FROM {TEXTS} WHERE length(text) // 4 > 2000",
+    "char_entropy": f"WITH c AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '[\\x09-\\x0D\\x20]', '', 'g'), '')) AS ch FROM {TEXTS}) SELECT doc_id, round(e + 0, 6) AS entropy FROM ("
+    + _ENTROPY.format(id="doc_id", src="c") + ")",
+    "consonant_ratio": f"SELECT doc_id, len(w)::BIGINT AS words, round(list_sum(list_transform(w, lambda x: length(regexp_replace(x, '[aeiouAEIOU]', '', 'g')) / length(x)::DOUBLE)) / len(w), 6) AS ratio FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]{{4,}}') AS w FROM {TEXTS}) WHERE len(w) > 0",
+    "url_allowlist": "WITH h AS (SELECT page_id, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1)) AS h FROM pages WHERE regexp_matches(url, '(?i)https?://')) SELECT page_id, 'URL points outside the allowlist (' || regexp_extract(h, '([^.]*\\.[^.]*)$', 1) || ')' AS message FROM h WHERE NOT (h = 'example.com' OR ends_with(h, '.example.com'))",
+    "random_tokens": "WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9_\\-+/=]{20,}')) AS tok FROM documents), r AS (SELECT row_number() OVER () AS id, doc_id, tok FROM t), c AS (SELECT id, unnest(string_split(tok, '')) AS ch FROM r), e AS ("
+    + _ENTROPY.format(id="id", src="c")
+    + ") SELECT doc_id, count(*) AS n FROM r JOIN e ON r.id = e.id WHERE CASE WHEN regexp_full_match(tok, '[0-9a-fA-F]+') THEN length(tok) >= 32 AND e.e >= 3.7 ELSE e.e >= 4.2 END GROUP BY doc_id",
+    "normalized_text": f"SELECT doc_id, translate(text, {_sql(_LOOK)}, {_sql(''.join(CONFUSABLES.values()))}) AS text FROM {TEXTS}",
+    "fullwidth": f"SELECT doc_id, translate(text, {_sql(transforms.ASCII + ' ')}, {_sql(transforms.FULLWIDTH + chr(0x3000))}) AS text FROM {TEXTS}",
+    "homoglyphs": f"SELECT doc_id, translate(text, {_sql(''.join(transforms.HOMOGLYPHS))}, {_sql(''.join(transforms.HOMOGLYPHS.values()))}) AS text FROM {TEXTS}",
+    "verdict_by_lang": f"SELECT lang, source, count(*) AS texts, count(*) FILTER (WHERE {N_PII} > 0) AS blocked FROM documents GROUP BY ROLLUP (lang, source)",
+    "toxic_confusion": f"WITH x AS (SELECT {_TOX} AS f, toxic = 1 AS e FROM documents JOIN labels USING (doc_id)), c AS (SELECT count(*) AS cases, count(*) FILTER (WHERE f AND e) AS tp, count(*) FILTER (WHERE f AND NOT e) AS fp, count(*) FILTER (WHERE NOT f AND NOT e) AS tn, count(*) FILTER (WHERE NOT f AND e) AS fn FROM x) SELECT *, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp)::DOUBLE ELSE 0 END, 6) AS precision, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn)::DOUBLE ELSE 0 END, 6) AS recall FROM c",
+    "conversation_rollup": f"SELECT conv_id, count(*) AS turns, count(*) FILTER (WHERE {N_PII} > 0) AS blocked_turns, coalesce(bool_or({N_PII} > 0), false) AS blocked FROM conversations GROUP BY conv_id",
+    "conversation_joined": f"WITH j AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn, text) AS text FROM conversations GROUP BY conv_id) SELECT conv_id, {N_PII} > 0 AS blocked, length(text)::BIGINT AS chars FROM j",
+    "payloads": f"SELECT conv_id AS id, bool_or({N_PII} > 0) AS blocked, max(({N_PII} > 0)::INT)::BIGINT AS n_scanners FROM conversations GROUP BY conv_id",
+    "event_block_rate": "SELECT date_trunc('day', ts)::TIMESTAMP AS start, count(*) AS texts, count(*) FILTER (WHERE regexp_matches(event_type, '\\bpurchase\\b')) AS blocked FROM events GROUP BY 1",
+    "policy_fail_fast": f"SELECT doc_id, CASE WHEN length(text) // 4 > 2000 THEN 'token_limit' ELSE 'pii' END AS scanner FROM {TEXTS} WHERE length(text) // 4 > 2000 OR {N_PII} > 0",
+    "policy_config": f"SELECT doc_id FROM {TEXTS} WHERE {N_EMAIL} + len({CARDS}) + len({SSNS}) > 0",
+    "stream_pii": f"SELECT doc_id FROM documents WHERE {N_PII} > 0",
+}

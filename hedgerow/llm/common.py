@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -68,8 +69,10 @@ def cut(df: DataFrame) -> DataFrame:
     schema = df.schema
     df.write.parquet(path)
     del df
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # the first frees what Python held, the second what only that kept alive in the JVM
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.2)
     return spark.read.schema(schema).parquet(path)
 
 

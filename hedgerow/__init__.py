@@ -1 +1,26 @@
+"""Hedgerow: text guardrails and training-data operators on Spark."""
 
+from __future__ import annotations
+
+import os
+import tempfile
+import zipfile
+
+from pyspark.sql import SparkSession
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once per Spark context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_hedgerow_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="hedgerow-"), "hedgerow.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(root):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.join("hedgerow", os.path.relpath(full, root)))
+    sc.addPyFile(path)
+    sc._hedgerow_shipped = True

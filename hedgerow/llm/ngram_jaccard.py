@@ -7,13 +7,13 @@ Documents link when |A & B| >= threshold * |A | B|. Equal sets are one node. The
    survives only if at least `threshold` of its n-grams are shared, as any link needs; most documents drop out here,
    among them those that merely hold a passage or line which very many documents share. N-grams frequent within a task
    are dealt by node instead of by hash, with a marker left behind, so no n-gram fills one task.
-2. Groups. Survivors with the same two smallest shared n-grams form groups, in blocks of at most `BLOCK` nodes. A
-   block's member links are computed in its task by a 0/1 matrix product over the block's token union and reduced to a
-   spanning set by union-find.
+2. Groups. Survivors with the same smallest shared n-gram in one of a few random orders meet in blocks of at most about
+   `BLOCK` nodes. A block's member links are computed in its task by a 0/1 matrix product over the block's token union
+   and reduced to a spanning set by union-find. The components so far are the groups, again in blocks.
 3. Matrix. Prefix tokens (in the order: n-grams of one node, then by hash) of all members, one entry per block and
-   token, are the token-group matrix; blocks that share an entry are candidates. A candidate block's nodes are bounded
-   by their overlap with the other block's token union, and only where a node reaches the least overlap is the block
-   opened and its rows compared.
+   token, are the token-group matrix; blocks of different groups that share an entry are candidates. A candidate
+   block's nodes are bounded by their overlap with the other block's token union, and only where a node reaches the
+   least overlap is the block opened and its rows compared. This finds every link that the groups did not hold.
 4. Links become components by label propagation with pointer jumping over written tables; labels are doc_ids.
 
 Nothing is sampled or capped, no pair list within a group is emitted, and no step collects nodes to the driver.
@@ -42,6 +42,8 @@ N = 5
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 80
 BLOCK = 256
+#: Random orders by whose smallest n-gram nodes are first grouped.
+ROUNDS = 3
 #: Guest nodes that meet a block in one task.
 GUESTS = 4096
 #: An n-gram that so many nodes of one task share is dealt by node.
@@ -126,7 +128,8 @@ def sets(docs: DataFrame) -> DataFrame:
 
 
 def survivors(docs: DataFrame) -> DataFrame:
-    """(node, n, shared): nodes of which enough n-grams are shared, with these as sorted 64-bit hashes in one cell."""
+    """(node, n, shared, keys): nodes of which enough n-grams are shared, these as sorted 64-bit numbers in one cell, and
+    the smallest of them in each of ROUNDS random orders."""
     partitions, _ = parts_for(docs, 2.6, 12 << 20)
     parts = partitions
 
@@ -240,13 +243,16 @@ def survivors(docs: DataFrame) -> DataFrame:
         for x in range(0, len(alive), 512):
             rows = alive[x : x + 512]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(node[first[rows]].view(np.int64)), pa.array(n[first[rows]].astype(np.int64)), pa.array([token[first[r] : first[r] + size[r]].tobytes() for r in rows], pa.binary())],
-                ["node", "n", "shared"],
-            )
+                [
+                    pa.array(node[first[rows]].view(np.int64)), pa.array(n[first[rows]].astype(np.int64)), pa.array([token[first[r] : first[r] + size[r]].tobytes() for r in rows], pa.binary()),
+                    pa.array([[int(splitmix(token[first[r] : first[r] + size[r]] ^ m).min().view(np.int64)) for m in MULTIPLIERS[:ROUNDS]] for r in rows], pa.list_(pa.int64())),
+                ],
+                ["node", "n", "shared", "keys"],
+            )
 
     posted = exchange(docs.select("text").mapInArrow(emit, SCHEMA), partitions)
     found = exchange(posted.mapInArrow(meet, SCHEMA), partitions)
-    return found.mapInArrow(gather, "node long, n long, shared binary")
+    return found.mapInArrow(gather, "node long, n long, shared binary, keys array<long>")
 
 
 def prefix(shared: np.ndarray, n: int) -> np.ndarray:
@@ -313,13 +319,21 @@ def _matrix(sets_: list[np.ndarray], cols: np.ndarray) -> np.ndarray:
     return out
 
 
-def _blocks(nodes: DataFrame) -> DataFrame:
-    """nodes with block: groups by the two smallest shared n-grams, dealt into blocks of about BLOCK by node hash."""
-    key = F.xxhash64(F.substring("shared", 1, 16))
-    sized = nodes.withColumn("g", key)
-    many = sized.groupBy("g").count().where(F.col("count") > BLOCK).select("g", F.ceil(F.col("count") / BLOCK).alias("k"))
-    salted = sized.join(many, "g", "left").withColumn("k", F.coalesce("k", F.lit(1)))
-    return salted.withColumn("block", F.xxhash64("g", F.pmod(F.xxhash64("node", F.lit("block")), "k"))).select("block", "node", "n", "shared")
+def _grouped(nodes: DataFrame) -> DataFrame:
+    """(block, node, n, shared): nodes under each of their keys that others have too, in blocks of about BLOCK."""
+    each = nodes.select("node", F.explode("keys").alias("key")).distinct()
+    many = each.groupBy("key").count().where("count > 1").select("key", F.ceil(F.col("count") / BLOCK).alias("k"))
+    dealt = each.join(many, "key").select("node", F.xxhash64("key", F.pmod(F.xxhash64("node", "key"), "k")).alias("block"))
+    return dealt.join(nodes.select(F.col("node").alias("_node"), "n", "shared"), F.col("node") == F.col("_node")).select("block", "node", "n", "shared")
+
+
+def _blocks(nodes: DataFrame, parts: DataFrame) -> DataFrame:
+    """(block, part, node, n, shared): nodes by the component that is known so far, in blocks of about BLOCK."""
+    many = parts.groupBy("part").count().where(F.col("count") > BLOCK).select("part", F.ceil(F.col("count") / BLOCK).alias("k"))
+    dealt = parts.join(many, "part", "left").select("node", "part", F.xxhash64("part", F.pmod(F.xxhash64("node", F.lit("block")), F.coalesce("k", F.lit(1)))).alias("block"))
+    known = dealt.toDF("_node", "part", "block")
+    own = nodes.join(known, F.col("node") == F.col("_node"), "left")
+    return own.select(F.coalesce("block", F.xxhash64("node", F.lit(0))).alias("block"), F.coalesce("part", "node").alias("part"), "node", "n", "shared")
 
 
 def _ints(rows: list) -> pa.Array:
@@ -327,8 +341,8 @@ def _ints(rows: list) -> pa.Array:
 
 
 def links(docs: DataFrame) -> DataFrame:
-    """(a, b): links between nodes that connect all linked nodes (a spanning set within blocks, all open links across)."""
-    nodes = _blocks(cut(survivors(docs)))
+    """(a, b): links between nodes that connect all linked nodes."""
+    alive = cut(survivors(docs))
 
     def inside(t: pa.Table) -> pa.Table:
         node = t.column("node").to_numpy()
@@ -339,38 +353,50 @@ def links(docs: DataFrame) -> DataFrame:
         other = np.flatnonzero(root != np.arange(len(node)))
         return pa.table({"a": _ints(node[root[other]]), "b": _ints(node[other])})
 
+    within = cut(_grouped(alive).groupBy("block").applyInArrow(inside, "a long, b long").distinct())
+    ends = within.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    nodes = cut(_blocks(alive, components(within, ends.select("node", F.col("node").alias("label"))).toDF("node", "part")))
+
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            block, n, cells = b.column(0).to_numpy(), b.column(2).to_numpy(), b.column(3).to_pylist()
+            block, part, n, cells = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(), b.column(3).to_pylist()
             pre = [prefix(np.frombuffer(c, np.uint64), k) for c, k in zip(cells, n, strict=True)]
-            at = np.repeat(block, [len(p) for p in pre])
+            size = [len(p) for p in pre]
             token = np.concatenate(pre).view(np.int64) if pre else np.zeros(0, np.int64)
             if len(token):
-                pairs = np.unique(np.stack([at, token], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([_ints(pairs[:, 0]), _ints(pairs[:, 1])], ["block", "token"])
+                rows = np.unique(np.stack([token, np.repeat(block, size), np.repeat(part, size)], 1), axis=0)
+                yield pa.RecordBatch.from_arrays([_ints(rows[:, k]) for k in range(3)], ["token", "block", "part"])
 
-    within = nodes.groupBy("block").applyInArrow(inside, "a long, b long")
-    matrix = nodes.mapInArrow(entries, "block long, token long").distinct()
+    matrix = nodes.select("block", "part", "n", "shared").mapInArrow(entries, "token long, block long, part long").distinct()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs of blocks with a common entry; tokens are together and sorted within a partition."""
-        t = pa.Table.from_batches(list(batches), pa.schema([("token", pa.int64()), ("block", pa.int64())]))
-        token, block = t.column(0).to_numpy(), t.column(1).to_numpy()
+        """Pairs of blocks of different components with a common entry; a token's entries are in one partition."""
+        t = pa.Table.from_batches(list(batches), pa.schema([("token", pa.int64()), ("block", pa.int64()), ("part", pa.int64())]))
+        token, block, part = (t.column(k).to_numpy() for k in range(3))
         if not len(token):
             return
         order = np.lexsort((block, token))
-        token, block = token[order], block[order]
+        token, block, part = token[order], block[order], part[order]
         bounds = np.concatenate([[0], np.flatnonzero(np.diff(token)) + 1, [len(token)]])
-        found: set[tuple[int, int]] = set()
+        found = [np.zeros((0, 2), np.int64)]
+        held = 0
         for s, e in zip(bounds[:-1], bounds[1:], strict=True):
-            if e - s > 1:
-                x = block[s:e].tolist()
-                found.update((x[i], x[j]) for i in range(len(x)) for j in range(i + 1, len(x)))
-        pairs = list(found)
-        yield pa.RecordBatch.from_arrays([_ints([p[0] for p in pairs]), _ints([p[1] for p in pairs])], ["p", "q"])
-
-    pairs = cut(matrix.select("token", "block").repartition("token").mapInArrow(meet, "p long, q long").distinct())
+            if e - s < 2:
+                continue
+            x, c = block[s:e], part[s:e]
+            for i in range(len(x) - 1):
+                other = x[i + 1 :][c[i + 1 :] != c[i]]
+                if len(other):
+                    found.append(np.stack([np.full(len(other), x[i]), other], 1))
+                    held += len(other)
+            if held > 1_000_000:
+                found, held = [np.unique(np.concatenate(found), axis=0)], 0
+        pairs = np.unique(np.concatenate(found), axis=0)
+        yield pa.RecordBatch.from_arrays([_ints(pairs[:, 0]), _ints(pairs[:, 1])], ["p", "q"])
+
+    pairs = cut(matrix.repartition("token").mapInArrow(meet, "p long, q long").distinct())
     # The larger block stays in place and its partners' nodes come to it, in shares of about GUESTS.
+    nodes = nodes.select("block", "node", "n", "shared")
     sizes = cut(nodes.groupBy("block").agg(F.count("*").alias("m")))
     ranked = pairs.join(sizes.toDF("p", "mp"), "p").join(sizes.toDF("q", "mq"), "q")
     home = F.col("mp") >= F.col("mq")

@@ -294,23 +294,23 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     place = first.groupBy("h1").agg(F.min("at").alias("at"))
     ends = near.join(place.select(F.col("h1").alias("a"), F.col("at").alias("pa")), "a").join(place.select(F.col("h1").alias("b"), F.col("at").alias("pb")), "b")
     losers = ends.select(F.when(F.col("pa") < F.col("pb"), F.col("b")).otherwise(F.col("a")).alias("h1")).distinct()
-    kept = first.join(losers, "h1", "left_anti").groupBy("at.doc_id", "at.text_id").agg(F.collect_list("at.line").alias("_kept"))
+    kept = first.join(losers, "h1", "left_anti").groupBy("at.doc_id", "at.text_id").agg(F.collect_list("at.line").alias("__hg_kept"))
     lines = F.split(F.col("text"), "\n")
-    short = F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: F.length(F.get(F.col("_lines"), i)) < min_chars)
-    places = F.array_sort(F.concat(short, F.coalesce(F.col("_kept"), F.array().cast("array<bigint>")).cast("array<int>")))
+    short = F.filter(F.sequence(F.lit(0), F.size("__hg_lines") - 1), lambda i: F.length(F.get(F.col("__hg_lines"), i)) < min_chars)
+    places = F.array_sort(F.concat(short, F.coalesce(F.col("__hg_kept"), F.array().cast("array<bigint>")).cast("array<int>")))
     return _apply(docs, kept, lines, places)
 
 
 def _apply(docs: DataFrame, kept: DataFrame, lines, places) -> DataFrame:
     base = docs.drop("n_lines", "n_kept_lines")
     columns = base.columns
-    left = base.withColumn("_tid", F.xxhash64("text")).alias("d")
-    right = kept.toDF("_id", "_rid", "_kept").alias("k")
-    both = left.join(right, (F.col("doc_id").eqNullSafe(F.col("_id"))) & (F.col("_tid") == F.col("_rid")), "left")
-    out = both.withColumn("_lines", lines).withColumn("_places", places)
-    text = F.when(F.col("text").isNotNull(), F.array_join(F.transform("_places", lambda i: F.get(F.col("_lines"), i)), "\n"))
-    return out.withColumns({"n_lines": F.size("_lines").cast("long"), "n_kept_lines": F.size("_places").cast("long"), "_new": text}).select(
-        *[F.col("_new").alias(c) if c == "text" else F.col(c) for c in columns], "n_lines", "n_kept_lines"
+    left = base.withColumn("__hg_tid", F.xxhash64("text")).alias("d")
+    right = kept.toDF("__hg_id", "__hg_rid", "__hg_kept").alias("k")
+    both = left.join(right, (F.col("doc_id").eqNullSafe(F.col("__hg_id"))) & (F.col("__hg_tid") == F.col("__hg_rid")), "left")
+    out = both.withColumn("__hg_lines", lines).withColumn("__hg_places", places)
+    text = F.when(F.col("text").isNotNull(), F.array_join(F.transform("__hg_places", lambda i: F.get(F.col("__hg_lines"), i)), "\n"))
+    return out.withColumns({"n_lines": F.size("__hg_lines").cast("long"), "n_kept_lines": F.size("__hg_places").cast("long"), "__hg_new": text}).select(
+        *[F.col("__hg_new").alias(c) if c == "text" else F.col(c) for c in columns], "n_lines", "n_kept_lines"
     )
 
 

@@ -474,4 +474,4 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ids = near_duplicates(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     kept = docs.join(ids, "doc_id", "left_semi")
     w = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return kept.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(*docs.columns)
+    return kept.withColumn("__hg_r", F.row_number().over(w)).where("__hg_r = 1").select(*docs.columns)

@@ -102,7 +102,7 @@ def distance(a, b):
 def edit(rng, line, n):
     s = list(line)
     for _ in range(n):
-        k = rng.randrange(len(s))
+        k = rng.randrange(len(s) + 1)
         s[k : k + rng.randrange(2)] = [rng.choice("abc é😀")] * rng.randrange(2)
     return "".join(s)
 

@@ -72,14 +72,14 @@ class Policy:
         clean = any(getattr(s, "normalize_input", True) for s in self.scanners) and self.normalize
         df = df.select(*columns)
         if clean:
-            df = df.withColumn("_norm", normalized(text))
-            df = df.withColumn("_clean", F.coalesce("_norm.text", text))
+            df = df.withColumn("__hg_norm", normalized(text))
+            df = df.withColumn("__hg_clean", F.coalesce("__hg_norm.text", text))
         else:
-            df = df.withColumn("_clean", text)
-        df = df.withColumn("_low", fold(F.col("_clean")))
+            df = df.withColumn("__hg_clean", text)
+        df = df.withColumn("__hg_low", fold(F.col("__hg_clean")))
         probes, columns_, found = self._compile(text)
-        tagged = compile_probes(F.col("_clean"), probes)
-        df = df.withColumns({"_p": F.coalesce(self._remapped(tagged, text) if clean else tagged, compile_probes(text, []))} | columns_)
+        tagged = compile_probes(F.col("__hg_clean"), probes)
+        df = df.withColumns({"__hg_p": F.coalesce(self._remapped(tagged, text) if clean else tagged, compile_probes(text, []))} | columns_)
         if self.mode == COLLECT_ALL:
             every = F.concat(*found) if found else none()
         else:
@@ -97,7 +97,7 @@ class Policy:
 
         pii and secrets are worked out once, however many scanners report them.
         """
-        norm, raw = Text(F.col("_clean"), F.col("_low")), Text(text, fold(text))
+        norm, raw = Text(F.col("__hg_clean"), F.col("__hg_low")), Text(text, fold(text))
         probes: list[Probe] = []
         columns: dict[str, Column] = {}
         found: list[Column] = []
@@ -115,22 +115,22 @@ class Policy:
             by_python = isinstance(s, Secrets | Exfiltration) and _by_python(norm, s.extra, s.name) or getattr(s, "patterns", None) and user_probes(s.patterns, s.name) is None
             if isinstance(s, Probing) and takes_norm and not by_python:
                 if type(s) is Exfiltration:
-                    subs = F.concat(untagged(F.col("_p"), tag_of(s.secrets)), untagged(F.col("_p"), tag_of(s.pii)))
-                    found.append(F.concat(untagged(F.col("_p"), tag_of(s)), renamed(subs, s.name)))
+                    subs = F.concat(untagged(F.col("__hg_p"), tag_of(s.secrets)), untagged(F.col("__hg_p"), tag_of(s.pii)))
+                    found.append(F.concat(untagged(F.col("__hg_p"), tag_of(s)), renamed(subs, s.name)))
                 else:
-                    found.append(untagged(F.col("_p"), tag_of(s)))
+                    found.append(untagged(F.col("__hg_p"), tag_of(s)))
             else:
                 c = s.scan(norm if takes_norm else raw)
                 if takes_norm and self.normalize:
                     c = untagged(self._remapped(F.transform(c, lambda f: F.struct(F.lit(0).alias("tag"), f.alias("f"))), text))
-                columns[f"_s{k}"] = F.coalesce(c, none())
-                found.append(F.col(f"_s{k}"))
+                columns[f"__hg_s{k}"] = F.coalesce(c, none())
+                found.append(F.col(f"__hg_s{k}"))
         return probes, columns, found
 
     @staticmethod
     def _remapped(tagged: Column, text: Column) -> Column:
         """Offsets in the normalized text as offsets in the original, whose text the findings then show."""
-        places = F.col("_norm.places")
+        places = F.col("__hg_norm.places")
 
         def move(x: Column) -> Column:
             f = x["f"]

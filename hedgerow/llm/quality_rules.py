@@ -47,7 +47,7 @@ RULES = (
     Rule("mean_word_length", "chars_per_word", 2.5, 12.0),
     Rule("symbols", "symbols_per_word", None, 0.10),
     Rule("stop_words", "stop_words_per_word", 0.05, None),
-    Rule("duplicate_lines", "dup_lines_per_line", None, 0.30),
+    Rule("duplicate_lines", "dup_lines_per_line", None, 0.50),
     Rule("repeated_words", "repeat_words_per_word", None, 0.50),
 )
 
@@ -174,7 +174,7 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
        (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
        (n_words >= 50 AND 100 * n_repeat_words <= 50 * n_words
         AND word_chars / n_words::DOUBLE BETWEEN 2.5 AND 12.0 AND n_symbols / n_words::DOUBLE <= 0.10
-        AND n_stop / n_words::DOUBLE >= 0.05 AND n_dup_lines / greatest(n_lines, 1)::DOUBLE <= 0.30
+        AND n_stop / n_words::DOUBLE >= 0.05 AND n_dup_lines / greatest(n_lines, 1)::DOUBLE <= 0.50
         AND n_repeat_words / n_words::DOUBLE <= 0.50) AS kept
 FROM m
 """

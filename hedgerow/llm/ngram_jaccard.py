@@ -12,8 +12,9 @@ Documents link when |A & B| >= threshold * |A | B|. Equal sets are one node. The
    and reduced to a spanning set by union-find. The components so far are the groups, again in blocks.
 3. Matrix. Prefix tokens (in the order: n-grams of one node, then by hash) of all members, one entry per block and
    token, are the token-group matrix; blocks of different groups that share an entry are candidates. A candidate
-   block's nodes are bounded by their overlap with the other block's token union, and only where a node reaches the
-   least overlap is the block opened and its rows compared. This finds every link that the groups did not hold.
+   block's nodes are bounded by their overlap with the other block's token union, first on bitmaps of the unions (2,048
+   bits, so that few nodes travel), then in full; only where a node reaches the least overlap is the block opened and its
+   rows compared. This finds every link that the groups did not hold.
 4. Links become components by label propagation with pointer jumping over written tables; labels are doc_ids.
 
 Nothing is sampled or capped, no pair list within a group is emitted, and no step collects nodes to the driver.
@@ -42,6 +43,8 @@ N = 5
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 80
 BLOCK = 256
+#: Bits of a block's token bitmap.
+OUTLINE = 2048
 #: Random orders by whose smallest n-gram nodes are first grouped.
 ROUNDS = 3
 #: Guest nodes that meet a block in one task.
@@ -340,6 +343,45 @@ def _ints(rows: list) -> pa.Array:
     return pa.array(rows, pa.int64())
 
 
+def _outlines(nodes: DataFrame) -> DataFrame:
+    """A row a block: its size m, the n-grams n and those of its node alone (own), and the union of its token bitmaps."""
+    names = [f"w{k}" for k in range(OUTLINE // 64)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, cells = b.column(1).to_numpy(), b.column(2).to_pylist()
+            bits = np.zeros((len(cells), OUTLINE), bool)
+            own = np.zeros(len(cells), np.int64)
+            for k, c in enumerate(cells):
+                x = np.frombuffer(c, np.uint64)
+                bits[k, (splitmix(x) % np.uint64(OUTLINE)).astype(np.int64)] = True
+                own[k] = n[k] - len(x)
+            w = np.packbits(bits, axis=1).view(np.int64).reshape(len(cells), len(names))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(own), *(pa.array(w[:, k].copy()) for k in range(len(names)))], ["block", "n", "own", *names])
+
+    rows = nodes.select("block", "n", "shared").mapInArrow(run, "block long, n long, own long, " + ", ".join(f"{x} long" for x in names))
+    sums = rows.groupBy("block").agg(F.count("*").alias("m"), F.max("n").alias("n"), F.max("own").alias("own"), *[F.bit_or(x).alias(x) for x in names])
+    return sums.select("block", "m", "n", "own", F.array(*names).alias("bits"))
+
+
+def _bounded(pairs: DataFrame, outlines: DataFrame) -> DataFrame:
+    """Pairs (p, q, mp, mq) that the bitmaps do not rule out.
+
+    A bit of a node that the other side lacks stands for an n-gram outside the other's union, as does every n-gram that
+    the node shares with nobody; a link leaves room for few of these. Blocks of several nodes are not bounded themselves.
+    """
+    p = outlines.toDF("p", "mp", "np", "op", "bp")
+    q = outlines.toDF("q", "mq", "nq", "oq", "bq")
+    missing = lambda own, a, b: own + F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))), F.lit(0), lambda s, x: s + x)
+    single = (F.col("mp") == 1) & (F.col("mq") == 1)
+    # |A & B| >= t / (100 + t) * (|A| + |B|) for two nodes, >= t / 100 * |A| for a node and a union.
+    both = F.ceil(PERCENT * (F.col("np") + F.col("nq")) / (100 + PERCENT) - 1e-9)
+    room = lambda n: F.col(n) - F.when(single, both).otherwise(F.ceil(PERCENT * F.col(n) / 100 - 1e-9))
+    fits_p = (F.col("mp") > 1) | (missing(F.col("op"), F.col("bp"), F.col("bq")) <= room("np"))
+    fits_q = (F.col("mq") > 1) | (missing(F.col("oq"), F.col("bq"), F.col("bp")) <= room("nq"))
+    return pairs.join(p, "p").join(q, "q").where(fits_p & fits_q).select("p", "q", "mp", "mq")
+
+
 def links(docs: DataFrame) -> DataFrame:
     """(a, b): links between nodes that connect all linked nodes."""
     alive = cut(survivors(docs))
@@ -395,12 +437,12 @@ def links(docs: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([_ints(pairs[:, 0]), _ints(pairs[:, 1])], ["p", "q"])
 
     pairs = cut(matrix.repartition("token").mapInArrow(meet, "p long, q long").distinct())
-    # The larger block stays in place and its partners' nodes come to it, in shares of about GUESTS.
     nodes = nodes.select("block", "node", "n", "shared")
-    sizes = cut(nodes.groupBy("block").agg(F.count("*").alias("m")))
-    ranked = pairs.join(sizes.toDF("p", "mp"), "p").join(sizes.toDF("q", "mq"), "q")
+    ranked = _bounded(pairs, cut(_outlines(nodes)))
+    # The larger block stays in place and its partners' nodes come to it, in shares of about GUESTS.
     home = F.col("mp") >= F.col("mq")
     ask = ranked.select(F.when(home, F.col("p")).otherwise(F.col("q")).alias("home"), F.when(home, F.col("q")).otherwise(F.col("p")).alias("guest"), F.least("mp", "mq").alias("m"))
+    ask = cut(ask)
     shares = ask.groupBy("home").agg(F.ceil(F.sum("m") / GUESTS).alias("k"))
     guests = ask.join(shares, "home").withColumn("share", F.pmod(F.xxhash64("guest"), "k")).select("home", "share", "guest")
     guests = guests.join(nodes.toDF("guest", "g_node", "g_n", "g_shared"), "guest")

@@ -116,26 +116,28 @@ def compile_probes(text: Column, probes: list[Probe]) -> Column:
     """
     if not probes:
         return F.array().cast(f"array<struct<tag:int,f:{FINDING}>>")
-    rows = []
-    for k, p in enumerate(probes):
-        row = F.struct(
-            F.lit(p.scanner).alias("scanner"), F.lit(float(p.score)).alias("score"), F.lit(p.message).alias("message"), F.lit(p.tag).alias("tag"), F.lit(k).alias("rule"),
-            F.regexp_extract_all(text, F.lit(p.java), F.lit(0)).alias("hits"), F.split(text, p.java, -1).alias("gaps"),
-        )
-        rows.append(F.when(p.gate if p.gate is not None else text.rlike(p.java), row))
+    each = []
+    for p in probes:
+        hits = F.regexp_extract_all(text, F.lit(p.java), F.lit(0))
+        each.append(hits if p.gate is None else F.when(p.gate, hits))
+    hit = F.filter(F.transform(F.array(*each), lambda h, k: F.struct(k.alias("rule"), h.alias("hits"))), lambda r: F.size(r["hits"]) > 0)
+    # What belongs to a rule is looked up by its number, only for rules that matched.
+    java, scanner, message = (F.lit([getattr(p, x) for p in probes]) for x in ("java", "scanner", "message"))
+    scores, tags = F.lit([float(p.score) for p in probes]), F.lit([p.tag for p in probes])
 
     def findings(r: Column) -> Column:
-        n = F.size(r["hits"])
-        score = F.when(r["score"] < 0, F.round(F.least(F.lit(0.95), F.lit(0.4) + F.lit(0.15) * n), 2)).otherwise(r["score"])
-        message = F.when(r["score"] < 0, F.concat(r["message"], n.cast("string"), F.lit(" hit(s) in text)"))).otherwise(r["message"])
+        n, k = F.size(r["hits"]), r["rule"]
+        counted = F.get(scores, k) < 0
+        score = F.when(counted, F.round(F.least(F.lit(0.95), F.lit(0.4) + F.lit(0.15) * n), 2)).otherwise(F.get(scores, k))
+        said = F.when(counted, F.concat(F.get(message, k), n.cast("string"), F.lit(" hit(s) in text)"))).otherwise(F.get(message, k))
 
         def one(m: Column) -> Column:
-            f = F.struct(r["scanner"].alias("scanner"), score.alias("score"), m["start"].alias("start"), (m["start"] + F.length(m["text"])).alias("end"), m["text"].alias("matched_text"), message.alias("message"))
-            return F.struct(r["tag"].alias("tag"), r["rule"].alias("rule"), f.alias("f"))
+            f = F.struct(F.get(scanner, k).alias("scanner"), score.alias("score"), m["start"].alias("start"), (m["start"] + F.length(m["text"])).alias("end"), m["text"].alias("matched_text"), said.alias("message"))
+            return F.struct(F.get(tags, k).alias("tag"), k.alias("rule"), f.alias("f"))
 
-        return F.transform(offsets(r["hits"], r["gaps"]), one)
+        return let(F.split(text, F.get(java, k), -1), lambda gaps: F.transform(offsets(r["hits"], gaps), one))
 
-    out = F.flatten(F.transform(F.array_compact(F.array(*rows)), findings))
+    out = F.flatten(F.transform(hit, findings))
     if any(p.keep is not None for p in probes):
 
         def kept(x: Column) -> Column:

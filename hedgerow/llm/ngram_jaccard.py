@@ -10,7 +10,7 @@ Documents link when |A & B| >= threshold * |A | B|. Equal sets are one node. The
 2. Groups. Survivors with the same smallest shared n-gram in one of a few random orders meet in blocks of at most about
    `BLOCK` nodes. A block's member links are computed in its task by a 0/1 matrix product over the block's token union
    and reduced to a spanning set by union-find. The components so far are the groups, again in blocks.
-3. Matrix. Prefix tokens (in the order: n-grams of one node, then by hash) of all members, one entry per block and
+3. Matrix. Prefix tokens (n-grams of one node first, then rare ones by a count sketch of fixed size) of all members, one entry per block and
    token, are the token-group matrix; blocks of different groups that share an entry are candidates. A candidate
    block's nodes are bounded by their overlap with the other block's token union, first on bitmaps of the unions (2,048
    bits, so that few nodes travel), then in full; only where a node reaches the least overlap is the block opened and its
@@ -43,6 +43,8 @@ N = 5
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 80
 BLOCK = 256
+#: Counters of the sketch that puts rare n-grams first, and the slices in which they are summed.
+COUNTERS, SLICES = 1 << 20, 64
 #: Bits of a block's token bitmap.
 OUTLINE = 2048
 #: Random orders by whose smallest n-gram nodes are first grouped.
@@ -258,10 +260,43 @@ def survivors(docs: DataFrame) -> DataFrame:
     return found.mapInArrow(gather, "node long, n long, shared binary, keys array<long>")
 
 
-def prefix(shared: np.ndarray, n: int) -> np.ndarray:
-    """The shared n-grams among the first n - least + 1 of a node, where n-grams of one node come first."""
+def prefix(shared: np.ndarray, n: int, counts: np.ndarray | None = None) -> np.ndarray:
+    """The shared n-grams among the first n - least + 1 of a node, where n-grams of one node come first.
+
+    counts: the others' order, rare ones first; any numbers by hash give one order for all nodes, which is what exactness
+    needs, so these may be shared by several n-grams.
+    """
     least = -(-PERCENT * n // 100)
-    return shared[: max(0, len(shared) - least + 1)]
+    size = max(0, len(shared) - least + 1)
+    if counts is not None and size < len(shared):
+        shared = shared[np.lexsort((shared, counts[_counter(shared)]))]
+    return shared[:size]
+
+
+def _counter(tokens: np.ndarray) -> np.ndarray:
+    return (splitmix(tokens + np.uint64(7)) % np.uint64(COUNTERS)).astype(np.int64)
+
+
+def _frequencies(nodes: DataFrame) -> np.ndarray:
+    """How many nodes hold n-grams of each of COUNTERS hash classes: summed by slices, of fixed size for any input."""
+    width = COUNTERS // SLICES
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for b in batches:
+            for c in b.column(0).to_pylist():
+                np.add.at(total, _counter(np.frombuffer(c, np.uint64)), 1)
+        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([total[k * width : (k + 1) * width].astype(np.int32).tobytes() for k in range(SLICES)], pa.binary())], ["slice", "counts"])
+
+    def add(t: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, np.int32).astype(np.int64) for x in t.column("counts").to_pylist())
+        return pa.table({"slice": t.column("slice")[:1], "counts": pa.array([np.minimum(total, (1 << 31) - 1).astype(np.int32).tobytes()], pa.binary())})
+
+    parts = nodes.select("shared").mapInArrow(count, "slice int, counts binary").groupBy("slice").applyInArrow(add, "slice int, counts binary").collect()
+    out = np.zeros(COUNTERS, np.int32)
+    for r in parts:
+        out[r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(r["counts"], np.int32)
+    return out
 
 
 def _roots(m: int, pairs: np.ndarray) -> np.ndarray:
@@ -399,10 +434,12 @@ def links(docs: DataFrame) -> DataFrame:
     ends = within.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     nodes = cut(_blocks(alive, components(within, ends.select("node", F.col("node").alias("label"))).toDF("node", "part")))
 
+    shared_counts = docs.sparkSession.sparkContext.broadcast(_frequencies(alive))  # 4 MB for any input
+
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             block, part, n, cells = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(), b.column(3).to_pylist()
-            pre = [prefix(np.frombuffer(c, np.uint64), k) for c, k in zip(cells, n, strict=True)]
+            pre = [prefix(np.frombuffer(c, np.uint64), k, shared_counts.value) for c, k in zip(cells, n, strict=True)]
             size = [len(p) for p in pre]
             token = np.concatenate(pre).view(np.int64) if pre else np.zeros(0, np.int64)
             if len(token):

@@ -1,7 +1,9 @@
 """Line dedup by a segment-partition edit join.
 
-Lines of at least `min_chars` characters take part; shorter ones are kept. A line is dropped if it isn't the first
-occurrence of its text in the corpus (by doc_id, then line number), or if some earlier line is within `TAU` edits of it.
+Lines of at least `min_chars` characters take part. A line is dropped if it isn't the first occurrence of its text in
+the corpus (by doc_id, then line number), or if some earlier line is within `TAU` edits of it. Shorter lines are kept; with
+`short_repeats`, as the pipeline stage has it, exact repeats of those that hold a word are dropped too, and only the edit
+join leaves them out.
 
 Exact repeats are found by a 128-bit line hash with partial aggregation, so a line that a third of all rows share costs
 one row a task. For the edit join a line is split into TAU + 1 nearly equal segments; two lines within TAU edits agree
@@ -36,6 +38,8 @@ BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95))
 POSTING = np.dtype([("k", "<u4"), ("line", "<u8"), ("sig", "<u8"), ("index", "u1")])
 #: Bits of the set of lines that are read again.
 SEEN_BITS = 24
+#: What a text or line with a word matches.
+WORD = r"[^\x20\x09-\x0D]"
 
 
 def _inverse(base: np.uint64) -> np.uint64:
@@ -161,9 +165,13 @@ def edit_distance(a: str, b: str, most: int = TAU) -> int:
     return min(dist, most + 1)
 
 
-def _eligible(points, starts, ends, min_chars):
+def _eligible(points, starts, ends, min_chars, short_repeats=False):
     doc, number, start, size = lines_of(points, starts, ends)
     ok = size >= min_chars
+    if short_repeats:
+        solid = np.zeros(len(points) + 1, np.int64)
+        np.cumsum((points != 32) & ((points < 9) | (points > 13)), out=solid[1:])
+        ok |= solid[start + size] > solid[start]
     return doc[ok], number[ok], start[ok], size[ok]
 
 
@@ -171,14 +179,14 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
+def occurrences(docs: DataFrame, min_chars: int, short_repeats: bool = False) -> DataFrame:
     """(h1, h2, doc_id, text_id, line) of every line that takes part."""
     src = docs.select("doc_id", F.xxhash64("text").alias("text_id"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, _, _, points, starts, ends in chunks(b.column(2)):
-                doc, number, start, size = _eligible(points, starts, ends, min_chars)
+                doc, number, start, size = _eligible(points, starts, ends, min_chars, short_repeats)
                 h1, h2 = (Hasher(points, base).of(start, size) for base in BASES)
                 at = pa.array(doc + i)
                 yield pa.RecordBatch.from_arrays([_signed(h1), _signed(h2), b.column(0).take(at), b.column(1).take(at), pa.array(number, pa.int64())], ["h1", "h2", "doc_id", "text_id", "line"])
@@ -286,9 +294,9 @@ def near_pairs(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return full.select("a", "b", "la", "lb").mapInArrow(verify, "a long, b long")
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, short_repeats: bool = False) -> DataFrame:
     """docs with the text's repeated lines removed, and n_lines, n_kept_lines (null texts: null)."""
-    first = occurrences(docs, min_chars).groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line", "text_id")).alias("at"))
+    first = occurrences(docs, min_chars, short_repeats).groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line", "text_id")).alias("at"))
     first = cut(first)
     near = near_pairs(docs, min_chars)
     place = first.groupBy("h1").agg(F.min("at").alias("at"))
@@ -296,8 +304,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     losers = ends.select(F.when(F.col("pa") < F.col("pb"), F.col("b")).otherwise(F.col("a")).alias("h1")).distinct()
     kept = first.join(losers, "h1", "left_anti").groupBy("at.doc_id", "at.text_id").agg(F.collect_list("at.line").alias("__hg_kept"))
     lines = F.split(F.col("text"), "\n")
-    short = F.filter(F.sequence(F.lit(0), F.size("__hg_lines") - 1), lambda i: F.length(F.get(F.col("__hg_lines"), i)) < min_chars)
-    places = F.array_sort(F.concat(short, F.coalesce(F.col("__hg_kept"), F.array().cast("array<bigint>")).cast("array<int>")))
+    line = lambda i: F.get(F.col("__hg_lines"), i)
+    out = (lambda i: (F.length(line(i)) < min_chars) & ~line(i).rlike(WORD)) if short_repeats else (lambda i: F.length(line(i)) < min_chars)
+    left_out = F.filter(F.sequence(F.lit(0), F.size("__hg_lines") - 1), out)
+    places = F.array_sort(F.concat(left_out, F.coalesce(F.col("__hg_kept"), F.array().cast("array<bigint>")).cast("array<int>")))
     return _apply(docs, kept, lines, places)
 
 
@@ -321,11 +331,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their repeated lines removed; a document of which no word is left goes."""
-    out = dedup_lines(docs)
+    out = dedup_lines(docs, short_repeats=True)
     n_chars = F.length("text").cast("long")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", n_chars.cast(docs.schema["n_chars"].dataType))
-    return out.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
+    return out.where(F.col("text").rlike(WORD)).select(*docs.columns)
 
 
 ORACLE = f"""

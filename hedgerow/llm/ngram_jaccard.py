@@ -549,8 +549,16 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component, the one with its smallest doc_id (of repeated rows of that id, one)."""
-    ids = near_duplicates(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(ids, "doc_id", "left_semi")
-    w = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    """One document of each component, the one with its smallest doc_id (null ids last).
+
+    Documents are told apart by doc_id and text, null-safely: rows that share an id but not a text are different
+    documents, rows equal in both are one.
+    """
+    none, text_id = F.col("doc_id").isNull(), F.xxhash64("text")
+    keyed = docs.select(F.struct(none.alias("none"), "doc_id", text_id.alias("text_id")).alias("doc_id"), "text")
+    first = near_duplicates(keyed).where(F.col("doc_id") == F.col("component_id")).select("doc_id.*").distinct()
+    first = first.select(F.col("doc_id").alias("__hg_id"), F.col("text_id").alias("__hg_first"))
+    own = docs.withColumn("__hg_tid", text_id)
+    kept = own.join(first, F.col("doc_id").eqNullSafe(F.col("__hg_id")) & (F.col("__hg_tid") == F.col("__hg_first")), "left_semi")
+    w = Window.partitionBy("doc_id", "__hg_tid").orderBy("__hg_tid")
     return kept.withColumn("__hg_r", F.row_number().over(w)).where("__hg_r = 1").select(*docs.columns)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from hedgerow.llm import line_dedup
+from hedgerow.llm import line_dedup, ngram_jaccard
 
 
 def prose(rng, n, words=400):
@@ -37,3 +37,17 @@ def test_stage_drops_repeats_of_short_lines(spark):
         if "".join(keep).strip(" \t"):
             want[d] = "\n".join(keep)
     assert got == want and 4 not in got
+
+
+# ---- Near duplicates
+
+
+def test_near_duplicates_stage_of_null_and_repeated_ids(spark):
+    rng = random.Random(12)
+    a, b, c, d, e, f = (prose(rng, 60) for _ in range(6))
+    rows = [(None, a), (None, b), (7, c), (7, d), (7, d), (3, e), (None, e + " end"), (9, e), (None, f), (None, f + " end"), (8, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((tuple(r) for r in ngram_jaccard.stage(spark, df, "").collect()), key=repr)
+    last = min((x for x in got if x[1] in (f, f + " end")), default=None)
+    want = [(None, a), (None, b), (7, c), (7, d), (3, e), last, (8, None), (None, "")]
+    assert got == sorted(want, key=repr)

@@ -124,9 +124,13 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a test item."""
-    bad = contaminated(docs, read(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """Documents without a test item, told apart by doc_id and text, null-safely."""
+    text_id = F.xxhash64("text")
+    keyed = docs.select(F.struct("doc_id", text_id.alias("text_id")).alias("__hg_row"), "text")
+    bad = contaminated(keyed, read(spark, sf_dir, "benchmark"), id_col="__hg_row").select("doc_id.*").distinct()
+    bad = bad.toDF("__hg_id", "__hg_bad")
+    same = F.col("doc_id").eqNullSafe(F.col("__hg_id")) & (F.col("__hg_tid") == F.col("__hg_bad"))
+    return docs.withColumn("__hg_tid", text_id).join(bad, same, "left_anti").select(*docs.columns)
 
 
 def _oracle() -> str:

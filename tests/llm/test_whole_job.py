@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from hedgerow.llm import line_dedup, ngram_jaccard
+from hedgerow.llm import decontamination, line_dedup, ngram_jaccard
 
 
 def prose(rng, n, words=400):
@@ -51,3 +51,16 @@ def test_near_duplicates_stage_of_null_and_repeated_ids(spark):
     last = min((x for x in got if x[1] in (f, f + " end")), default=None)
     want = [(None, a), (None, b), (7, c), (7, d), (3, e), last, (8, None), (None, "")]
     assert got == sorted(want, key=repr)
+
+
+# ---- Decontamination
+
+
+def test_decontamination_stage_of_null_and_repeated_ids(spark, tmp_path):
+    rng = random.Random(13)
+    item, clean, other = prose(rng, 30), prose(rng, 80), prose(rng, 50)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(None, "so " + item + " end"), (None, clean), (5, clean + " " + item), (5, other), (6, item), (7, None), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = decontamination.stage(spark, df, str(tmp_path)).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, [(None, clean), (5, other), (7, None), (None, None)]))

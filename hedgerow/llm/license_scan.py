@@ -2,7 +2,8 @@
 
 Texts and templates are compared as normalized words (lower case, letters and digits only). Words of a text that occur
 in a template are its hits; hits at most `GAP` words apart form regions, and regions longer than one and a half
-templates are cut into overlapping windows, so work stays linear in the text. In each region with enough different
+templates are cut into overlapping windows, so work stays linear in the text. Neighbouring regions that together span at
+most one and a half templates are also tried as one, so foreign words inside a notice don't split it. In each region with enough different
 template words the alignment is: match the common head and tail; anchor on words that occur once in the region and
 once in the template; keep the longest increasing subsequence of anchors; align the gaps between them in the same way.
 Coverage is the share of the template's words that are aligned. A template is found where coverage reaches `threshold`.
@@ -113,10 +114,11 @@ class Scanner:
         # Template words that may be missing, all counted as different ones: the least number of different words needed.
         self.least = [max(1, d - int(len(ws) * (1 - threshold) + 1e-9)) for d, ws in zip(self.kinds, self.words, strict=True)]
 
-    def regions(self, at: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
-        """Windows [start, end) over runs of hit places."""
+    def regions(self, at: np.ndarray, size: int, least: int = 1) -> Iterator[tuple[int, int]]:
+        """Windows [start, end) over runs of hit places, then over neighbouring runs with at least `least` hits."""
         cuts = np.flatnonzero(np.diff(at) > GAP + 1) + 1
-        for run in np.split(at, cuts):
+        runs = np.split(at, cuts)
+        for run in runs:
             s, e = int(run[0]), int(run[-1]) + 1
             if e - s <= 1.5 * size:
                 yield s, e
@@ -126,6 +128,15 @@ class Scanner:
                     yield x, min(e, x + size + step)
                     if x + size + step >= e:
                         break
+        first = [0, *cuts.tolist(), len(at)]
+        for i in range(len(runs)):
+            s = int(at[first[i]])
+            for j in range(i + 1, len(runs)):
+                e = int(at[first[j + 1] - 1]) + 1
+                if e - s > 1.5 * size:
+                    break
+                if first[j + 1] - first[i] >= least:
+                    yield s, e
 
     def scan(self, words: list[str]) -> list[tuple[str, float, int, int]]:
         """(template, coverage, first word, last word + 1) of the templates found, in name order."""
@@ -136,13 +147,13 @@ class Scanner:
             if len(at) < self.least[k]:
                 continue
             best, template = None, self.words[k]
-            for s, e in self.regions(at, len(template)):
+            for s, e in self.regions(at, len(template), self.least[k]):
                 own = words[s:e]
                 if len({w for w in own if self.bit.get(w, 0) >> k & 1}) < self.least[k]:
                     continue
                 pairs = align(own, template)
                 cover = len(pairs) / len(template)
-                if cover >= self.threshold and (best is None or cover > best[1]):
+                if cover >= self.threshold and (best is None or cover > best[1] or (cover == best[1] and e <= best[2])):
                     best = (name, cover, s + pairs[0][0], s + pairs[-1][0] + 1)
             if best:
                 out.append(best)

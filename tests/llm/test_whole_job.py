@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from hedgerow.llm import decontamination, line_dedup, ngram_jaccard
+from hedgerow.llm import decontamination, license_scan, line_dedup, ngram_jaccard
 
 
 def prose(rng, n, words=400):
@@ -64,3 +64,20 @@ def test_decontamination_stage_of_null_and_repeated_ids(spark, tmp_path):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = decontamination.stage(spark, df, str(tmp_path)).collect()
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, [(None, clean), (5, other), (7, None), (None, None)]))
+
+
+# ---- Licences
+
+
+def test_notice_with_foreign_words_inside():
+    scanner = license_scan.Scanner(license_scan.TEMPLATES, license_scan.THRESHOLD)
+    w = license_scan.normal_words(license_scan.TEMPLATES["GPL-3.0-header"])
+    rng = random.Random(14)
+    at = next(i for i in range(len(w)) if w[i : i + 4] == "as published by the".split())
+    for n in range(4, 11):
+        foreign = [f"x{i}" for i in range(n)]
+        words = prose(rng, 30).split() + w[:at] + foreign + w[at + 4 :] + prose(rng, 30).split()
+        found = {x[0]: x[1:] for x in scanner.scan(words)}
+        assert found["GPL-3.0-header"] == ((len(w) - 4) / len(w), 30, 30 + len(w) - 4 + n)
+        found = {x[0]: x[1:] for x in scanner.scan([*w[:at], *foreign, *w[at:], *prose(rng, 40).split(), *w[:at], *foreign, *w[at:]])}
+        assert found["GPL-3.0-header"] == (1.0, 0, len(w) + n)

@@ -10,13 +10,22 @@ one row a task. For the edit join a line is split into TAU + 1 nearly equal segm
 in one segment of the shorter, at a place shifted by few characters. Segments are indexed by (length, number, hash), and
 the longer line is probed with the substrings that a multi-match-aware window of places allows for each length. All
 hashes come from prefix sums of a polynomial hash over the code points of a batch, without a Python loop over lines.
-Postings travel packed (21 bytes); a bucket's pairs are filtered by a character-count signature (each edit moves counts
-by at most 2) blockwise in numpy before any pair leaves the task, and only lines with a surviving pair are read again,
-through a bit set of fixed size. Surviving pairs are verified with a banded bit-parallel edit distance.
+
+A line needs one earlier line as its witness, not all its pairs, so no pair ever leaves a task:
+
+1. Postings travel packed (21 bytes). In a segment's bucket, lines without a partner by a character-count signature (each
+   edit moves counts by at most 2) go; each other line leaves once, as a member of the bucket.
+2. Only members' lines are read again, through a bit set of fixed size, with their places.
+3. A bucket of more than HOT lines is split by a second segment: the parts left and right of the shared one are within the
+   remaining edits, so they are segmented and probed in the same way. What still holds more than GRID lines is dealt as a
+   grid of cells, each line a prober in one row and a witness in one column, which bounds a task's memory.
+4. In its bucket a line is compared with earlier lines, earliest first, by a banded bit-parallel edit distance, until one
+   is close. Near copies of one line are settled by the first few.
 
 Defined results: null texts stay null, empty texts empty; very long texts and lines are handled whole; rows equal in
-doc_id and text are one document; the text's other lines keep their order; an empty table gives an empty result; extra
-columns pass through.
+doc_id and text are one document; null ids come first in the order; the text's other lines keep their order; an empty
+table gives an empty result; extra columns pass through, but for n_lines and n_kept_lines, which `dedup_lines` replaces
+(the stage keeps them as they came).
 """
 
 from __future__ import annotations
@@ -28,14 +37,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .codepoints import chunks
-from .common import cut, read, splitmix
+from .codepoints import LIMIT, chunks
+from .common import SPACE, cut, read, splitmix
 from .packed import SCHEMA, exchange, pack, parts_for, unpack
 
 TAU = 2
 MIN_CHARS = 24
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95))
-POSTING = np.dtype([("k", "<u4"), ("line", "<u8"), ("sig", "<u8"), ("index", "u1")])
+#: code: segment, length difference and shift of a posting (see _code).
+POSTING = np.dtype([("k", "<u4"), ("line", "<u8"), ("sig", "<u8"), ("code", "u1")])
+#: Buckets of more members are split by a second segment; those of more after that are dealt as a grid.
+HOT, GRID = 4096, 8192
 #: Bits of the set of lines that are read again.
 SEEN_BITS = 24
 #: What a text or line with a word matches.
@@ -46,19 +58,30 @@ def _inverse(base: np.uint64) -> np.uint64:
     return np.uint64(pow(int(base), -1, 1 << 64))
 
 
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_values: dict[int, np.ndarray] = {}
+
+
+def _tables(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Powers of base and of its inverse for at least n places, and the value of each code point; kept by the worker."""
+    key = int(base)
+    if key not in _powers or len(_powers[key][0]) < n:
+        up, down = np.ones(n, np.uint64), np.ones(n, np.uint64)
+        up[1:], down[1:] = base, _inverse(base)
+        _powers[key] = (np.cumprod(up, out=up), np.cumprod(down, out=down))
+    if key not in _values:
+        _values[key] = splitmix(np.arange(LIMIT, dtype=np.uint64) + base)
+    return *_powers[key], _values[key]
+
+
 class Hasher:
     """Hashes of any substring of an array of code points, from prefix sums modulo 2**64."""
 
     def __init__(self, points: np.ndarray, base: np.uint64):
         n = len(points)
-        self.down = np.ones(n + 1, np.uint64)
-        self.down[1:] = _inverse(base)
-        np.cumprod(self.down, out=self.down)
-        up = np.ones(n, np.uint64)
-        up[1:] = base
-        np.cumprod(up, out=up)
+        up, self.down, values = _tables(base, n + 1)
         self.sum = np.zeros(n + 1, np.uint64)
-        np.cumsum(splitmix(points.astype(np.uint64) + base) * up, out=self.sum[1:])
+        np.cumsum(values[points] * up[:n], out=self.sum[1:])
 
     def of(self, start: np.ndarray, size: np.ndarray) -> np.ndarray:
         return splitmix((self.sum[start + size] - self.sum[start]) * self.down[start] + size.astype(np.uint64) * BASES[0])
@@ -73,56 +96,82 @@ def lines_of(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[
     return doc, np.arange(len(begin)) - first[doc], begin, breaks - begin
 
 
-def segments(size: np.ndarray, i: int) -> tuple[np.ndarray, np.ndarray]:
-    """(place, size) of segment i of lines of these sizes: the last ones are longer by one where sizes don't divide."""
-    q, r = size // (TAU + 1), size % (TAU + 1)
-    longer = i - (TAU + 1 - r)
+def segments(size: np.ndarray, i: int, tau: int = TAU) -> tuple[np.ndarray, np.ndarray]:
+    """(place, size) of segment i of tau + 1 of strings of these sizes: the last ones are longer by one where sizes don't
+    divide."""
+    q, r = size // (tau + 1), size % (tau + 1)
+    longer = i - (tau + 1 - r)
     return i * q + np.maximum(longer, 0), q + (longer >= 0)
 
 
+def shifts(i: int, delta: int, tau: int = TAU) -> range:
+    """Shifts at which a string longer by delta may hold segment i, with i edits at most before it and tau - i behind."""
+    return range(max(-i, delta - (tau - i)), min(i, delta + tau - i) + 1)
+
+
 def _key(h: np.ndarray, size: np.ndarray, i: int) -> np.ndarray:
     return splitmix(h ^ splitmix(size.astype(np.uint64) * np.uint64(TAU + 1) + np.uint64(i + 1)))
 
 
+def _code(i: int, d: int, shift: int) -> int:
+    return i + (TAU + 1) * (d + (TAU + 1) * (shift + TAU))
+
+
+#: Codes of index entries, which also probe; all others only probe.
+INDEX = tuple(_code(i, 0, 0) for i in range(TAU + 1))
+_CODES = {_code(i, d, x): (i, d, x) for i in range(TAU + 1) for d in range(TAU + 1) for x in shifts(i, d)}
+
+
 def postings(hasher: Hasher, start: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """(rows, keys, 1 for index entries that also probe, 0 for probes only)."""
+    """(rows, keys, code)."""
     rows = np.arange(len(start))
-    for d in range(TAU + 1):
+    for code, (i, d, shift) in _CODES.items():
         m = size - d  # the size of the indexed, shorter line
-        for i in range(TAU + 1):
-            p, n = segments(m, i)
-            low = np.maximum(np.maximum(p - i, p + d - (TAU - i)), 0)
-            high = np.minimum(np.minimum(p + i, p + d + (TAU - i)), size - n)
-            for shift in range(-TAU, 2 * TAU + 1):
-                s = p + shift
-                ok = (s >= low) & (s <= high) & (n > 0)
-                if not ok.any():
-                    continue
-                at = rows[ok]
-                yield at, _key(hasher.of(start[at] + s[at], n[at]), m[at], i), int(d == 0 and shift == 0)
+        p, n = segments(m, i)
+        s = p + shift
+        ok = (s >= 0) & (s <= size - n) & (n > 0)
+        at = rows if ok.all() else rows[ok]
+        if len(at):
+            yield at, _key(hasher.of(start[at] + s[at], n[at]), m[at], i), code
+
+
+_kinds: np.ndarray | None = None
 
 
 def signature(points: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Sixteen character-class counts of each line, modulo 16, in 64 bits."""
-    kind = (splitmix(points.astype(np.uint64)) >> np.uint64(60)).astype(np.uint8)
+    global _kinds
+    if _kinds is None:
+        _kinds = (splitmix(np.arange(LIMIT, dtype=np.uint64)) >> np.uint64(60)).astype(np.uint8)
+    kind = _kinds[points]
     out = np.zeros(len(start), np.uint64)
-    total = np.zeros(len(points) + 1, np.int32)
-    for k in range(16):
-        np.cumsum(kind == k, out=total[1:])
-        out |= ((total[start + size] - total[start]) & 15).astype(np.uint64) << np.uint64(4 * k)
+    # Four counts to a running sum, in fields of 16 bits; lines so long that fields could overflow are counted one by one.
+    total = np.zeros(len(points) + 1, np.uint64)
+    for k in range(0, 16, 4):
+        one = np.zeros(16, np.uint64)
+        one[k : k + 4] = np.uint64(1) << np.arange(0, 64, 16, dtype=np.uint64)
+        np.cumsum(one[kind], out=total[1:])
+        sums = total[start + size] - total[start]
+        for f in range(4):
+            out |= ((sums >> np.uint64(16 * f)) & np.uint64(15)) << np.uint64(4 * (k + f))
+    for r in np.flatnonzero(size >= 1 << 16):
+        counts = np.bincount(kind[start[r] : start[r] + size[r]], minlength=16).astype(np.uint64) & np.uint64(15)
+        out[r] = np.bitwise_or.reduce(counts << np.arange(0, 64, 4, dtype=np.uint64))
     return out
 
 
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    d = np.zeros(np.broadcast(x, y).shape, np.uint8)
+    for k in range(0, 64, 4):
+        a, b = (((z >> np.uint64(k)) & np.uint64(15)).astype(np.uint8) for z in (x, y))
+        e = (a - b) & np.uint8(15)
+        d += np.minimum(e, np.uint8(16) - e)
+    return d
+
+
 def close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Matrix of whether two signatures may belong to lines within TAU edits."""
-    shifts = np.arange(0, 64, 4, dtype=np.uint64)
-    x = ((a[:, None] >> shifts) & np.uint64(15)).astype(np.int8)
-    y = ((b[:, None] >> shifts) & np.uint64(15)).astype(np.int8)
-    d = np.zeros((len(a), len(b)), np.int16)
-    for k in range(16):
-        e = np.abs(x[:, k][:, None] - y[:, k][None, :])
-        d += np.minimum(e, 16 - e)
-    return d <= 2 * TAU
+    return _apart(a[:, None], b[None, :]) <= 2 * TAU
 
 
 def edit_distance(a: str, b: str, most: int = TAU) -> int:
@@ -195,8 +244,9 @@ def occurrences(docs: DataFrame, min_chars: int, short_repeats: bool = False) ->
     return src.mapInArrow(run, f"h1 long, h2 long, doc_id {kind}, text_id long, line long")
 
 
-def candidate_pairs(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(a, b), a < b: hashes of different lines that share a segment and may be within TAU edits."""
+def members(docs: DataFrame, min_chars: int) -> DataFrame:
+    """(bucket, id, sig, code, hot): lines, by hash, in the buckets of segments where they may have a partner within TAU
+    edits; all lines of buckets that are too large to look."""
     partitions, parts = parts_for(docs, 1.3)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,9 +261,9 @@ def candidate_pairs(docs: DataFrame, min_chars: int) -> DataFrame:
                 line, once = np.unique(line, return_index=True)
                 start, size = start[once], size[once]
                 sig = signature(points, start, size)
-                for rows, keys, index in postings(hasher, start, size):
+                for rows, keys, code in postings(hasher, start, size):
                     r = np.empty(len(rows), POSTING)
-                    r["k"], r["line"], r["sig"], r["index"] = keys & np.uint64(0xFFFFFFFF), line[rows], sig[rows], index
+                    r["k"], r["line"], r["sig"], r["code"] = keys & np.uint64(0xFFFFFFFF), line[rows], sig[rows], code
                     records.append(r)
                     part.append(((keys >> np.uint64(32)) % np.uint64(parts)).astype(np.int32))
             if records:
@@ -223,33 +273,48 @@ def candidate_pairs(docs: DataFrame, min_chars: int) -> DataFrame:
         part, r = unpack(batches, POSTING)
         key = part.astype(np.uint64) << np.uint64(32) | r["k"]
         order = np.argsort(key, kind="stable")
-        key, r = key[order], r[order]
-        same = np.flatnonzero(key[1:] == key[:-1])
+        same = np.flatnonzero(key[order[1:]] == key[order[:-1]])
         multi = np.zeros(len(key), bool)
         multi[same] = multi[same + 1] = True
-        key, r = key[multi], r[multi]
-        _, once = np.unique(np.rec.fromarrays([key, r["line"], r["index"]]), return_index=True)
-        key, r = key[once], r[once]
-        bounds = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
-        big = np.flatnonzero(np.diff(bounds) > 1)
-        found: list[np.ndarray] = []
-        for s, e in zip(bounds[big], bounds[big + 1], strict=True):
-            line, sig, index = r["line"][s:e], r["sig"][s:e], r["index"][s:e] == 1
-            if not index.any() or (line == line[0]).all():
+        order = order[multi]
+        key, line, sig, code = key[order], r["line"][order], r["sig"][order], r["code"][order]
+        del r, part, order
+        # Repeats of one line, as of several batches, are one.
+        order = np.lexsort((code, line, key))
+        key, line, sig, code = key[order], line[order], sig[order], code[order]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (line[1:] != line[:-1]) | (code[1:] != code[:-1])
+        key, line, sig, code = key[new], line[new], sig[new], code[new]
+        index = np.isin(code, INDEX)
+        bounds = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]]) if len(key) else np.zeros(1, int)
+        width = np.diff(bounds)
+        wanted, hot = np.zeros(len(key), bool), np.zeros(len(key), bool)
+        in_small = np.repeat((width > 1) & (width <= 32), width)
+        for step in range(1, min(32, int(width.max(initial=1)))):
+            x = np.flatnonzero(in_small[:-step] & (key[step:] == key[:-step]))
+            y = x + step
+            x, y = (z[(index[x] | index[y]) & (line[x] != line[y])] for z in (x, y))
+            ok = _apart(sig[x], sig[y]) <= 2 * TAU
+            wanted[x[ok]] = wanted[y[ok]] = True
+        for g in np.flatnonzero(width > 32):
+            s, e = bounds[g], bounds[g + 1]
+            own = s + np.flatnonzero(index[s:e])
+            if not len(own) or (line[s:e] == line[s]).all():
+                continue
+            if e - s > HOT:
+                wanted[s:e] = hot[s:e] = True
                 continue
-            il, isig = line[index], sig[index]
-            for x in range(0, len(line), 1024):
-                for y in range(0, len(il), 1024):
-                    q, i = np.nonzero(close(sig[x : x + 1024], isig[y : y + 1024]))
-                    a, b = line[x + q], il[y + i]
-                    differ = a != b
-                    if differ.any():
-                        found.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[differ], axis=0))
-        if found:
-            pairs = np.unique(np.concatenate(found), axis=0)
-            yield pa.RecordBatch.from_arrays([_signed(pairs[:, 0].copy()), _signed(pairs[:, 1].copy())], ["a", "b"])
+            for x in range(s, e, 512):
+                z = min(x + 512, e)
+                near = close(sig[x:z], sig[own]) & (line[x:z, None] != line[None, own])
+                wanted[x:z] |= near.any(1)
+                wanted[own] |= near.any(0)
+        for x in range(0, len(key), 1 << 20):
+            at = x + np.flatnonzero(wanted[x : x + (1 << 20)])
+            if len(at):
+                yield pa.RecordBatch.from_arrays([_signed(key[at]), _signed(line[at]), _signed(sig[at]), pa.array(code[at].astype(np.int32)), pa.array(hot[at])], ["bucket", "id", "sig", "code", "hot"])
 
-    return exchange(docs.select("text").mapInArrow(emit, SCHEMA), partitions).mapInArrow(meet, "a long, b long").distinct()
+    return exchange(docs.select("text").mapInArrow(emit, SCHEMA), partitions).mapInArrow(meet, "bucket long, id long, sig long, code int, hot boolean")
 
 
 def _bitset(ids: DataFrame) -> np.ndarray:
@@ -262,66 +327,189 @@ def _bitset(ids: DataFrame) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def near_pairs(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(a, b): hashes of different lines within TAU edits."""
-    spark = docs.sparkSession
-    pairs = cut(candidate_pairs(docs, min_chars))
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
-    seen = spark.sparkContext.broadcast(_bitset(ids))
+def _lines(docs: DataFrame, ids: DataFrame, min_chars: int) -> DataFrame:
+    """(id, line, at): the lines of these hashes, with the place of the first."""
+    seen = docs.sparkSession.sparkContext.broadcast(_bitset(ids))
+    src = docs.select("doc_id", F.xxhash64("text").alias("text_id"), "text")
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = seen.value
         for b in batches:
-            for _, _, own, points, starts, ends in chunks(b.column(0)):
-                doc, _, start, size = _eligible(points, starts, ends, min_chars)
+            for i, _, own, points, starts, ends in chunks(b.column(2)):
+                doc, number, start, size = _eligible(points, starts, ends, min_chars)
                 h = Hasher(points, BASES[0]).of(start, size)
                 word = (h >> np.uint64(6)) & np.uint64(len(table) - 1)
                 hit = np.flatnonzero(table[word] >> (h & np.uint64(63)) & np.uint64(1))
-                h, once = np.unique(h[hit], return_index=True)
-                hit = hit[once]
-                text = [own[doc[k]][start[k] - starts[doc[k]] : start[k] - starts[doc[k]] + size[k]] for k in hit]
-                yield pa.RecordBatch.from_arrays([_signed(h), pa.array(text, pa.string())], ["id", "line"])
+                _, once = np.unique(h[hit], return_index=True)
+                first = np.zeros(len(hit), bool)
+                first[once] = True  # the text is sent once a chunk, the place of every repeat
+                text = [own[doc[k]][start[k] - starts[doc[k]] : start[k] - starts[doc[k]] + size[k]] if f else None for k, f in zip(hit, first, strict=True)]
+                at = pa.array(doc[hit] + i)
+                yield pa.RecordBatch.from_arrays([_signed(h[hit]), b.column(0).take(at), pa.array(number[hit], pa.int64()), b.column(1).take(at), pa.array(text, pa.string())], ["id", "doc_id", "number", "text_id", "line"])
 
-    wanted = docs.select("text").mapInArrow(again, "id long, line string")
-    lines = wanted.join(ids.distinct(), "id", "left_semi").groupBy("id").agg(F.min("line").alias("line"))
+    kind = src.schema["doc_id"].dataType.simpleString()
+    found = src.mapInArrow(again, f"id long, doc_id {kind}, number long, text_id long, line string")
+    # Grouped before the join: a line of very many texts is one row a task.
+    return found.groupBy("id").agg(F.min(F.struct("doc_id", "number", "text_id")).alias("at"), F.min("line").alias("line")).join(ids, "id", "left_semi")
+
+
+def _mixed(*parts: np.ndarray) -> np.ndarray:
+    out = np.full(len(parts[0]), BASES[1])
+    for x in parts:
+        out = splitmix(out ^ x) * BASES[0]
+    return splitmix(out)
+
+
+def _windows(hasher: Hasher, start: np.ndarray, size: np.ndarray, delta: int, tau: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(segment, whether there, its hash) for each place of each segment that strings (start, size) may share with strings
+    shorter by delta and within tau edits."""
+    for j in range(tau + 1):
+        q, w = segments(size - delta, j, tau)
+        for shift in shifts(j, delta, tau):
+            s = q + shift
+            ok = (s >= 0) & (w >= 0) & (s + w <= size)
+            yield j, ok, hasher.of(start + np.where(ok, s, 0), np.where(ok, w, 0))
+
+
+def _second(bucket: np.ndarray, code: int, hasher: Hasher, start: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, keys) of a hot bucket's lines by another segment of what is left and right of the shared one."""
+    i, d, shift = _CODES[code]
+    p, n = segments(size - d, i)
+    s = p + shift
+    left = (start, s, shift, i)
+    right = (start + s + n, size - s - n, d - shift, TAU - i)
+    for j, ok, h in _windows(hasher, *left):
+        for k, ok2, h2 in _windows(hasher, *right):
+            rows = np.flatnonzero(ok & ok2)
+            if len(rows):
+                yield rows, _mixed(bucket[rows], np.full(len(rows), np.uint64(j * (TAU + 1) + k)), h[rows], h2[rows])
+
+
+def _refined(full: DataFrame) -> DataFrame:
+    """(bucket, id, sig, index, at, line): members of hot buckets under a second segment, all others as they are."""
+    kind = full.schema["at"].dataType.simpleString()
+    names = ["bucket", "id", "sig", "index", "at", "line"]
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = [edit_distance(x, y) <= TAU for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            yield b.filter(pa.array(ok, pa.bool_())).select([0, 1])
-
-    full = pairs.join(lines.select(F.col("id").alias("a"), F.col("line").alias("la")), "a").join(lines.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b")
-    return full.select("a", "b", "la", "lb").mapInArrow(verify, "a long, b long")
+            code, hot = b.column("code").to_numpy(), b.column("hot").to_numpy(zero_copy_only=False)
+            index = np.isin(code, INDEX)
+            for calm in [np.flatnonzero(~hot)]:
+                yield pa.RecordBatch.from_arrays([b.column(c).take(pa.array(calm)) if c != "index" else pa.array(index[calm]) for c in names], names)
+            rows = np.flatnonzero(hot)
+            if not len(rows):
+                continue
+            picked = b.take(pa.array(rows))
+            bucket = picked.column("bucket").to_numpy().view(np.uint64)
+            for i, j, _, points, starts, ends in chunks(picked.column("line")):
+                hasher, own = Hasher(points, BASES[0]), np.arange(i, j)
+                for c in np.unique(code[rows[i:j]]):
+                    of = own[code[rows[i:j]] == c]
+                    for at, key in _second(bucket[of], int(c), hasher, starts[of - i], (ends - starts)[of - i]):
+                        take = pa.array(of[at])
+                        yield pa.RecordBatch.from_arrays([_signed(key), *(picked.column(x).take(take) if x != "index" else pa.array(index[rows[of[at]]]) for x in names[1:])], names)
+
+    return full.mapInArrow(run, f"bucket long, id long, sig long, index boolean, at {kind}, line string")
+
+
+def near_losers(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(h1): hashes of lines within TAU edits of a different line that comes first earlier."""
+    found = cut(members(docs, min_chars))
+    lines = _lines(docs, found.select("id").distinct(), min_chars)
+    known = cut(_refined(found.join(lines, "id")))
+    shares = known.groupBy("bucket").count().where(F.col("count") > GRID).select("bucket", F.ceil(F.col("count") / GRID).alias("k"))
+    dealt = known.join(shares, "bucket", "left").withColumn("slot", F.pmod(F.xxhash64("id", "bucket"), "k"))
+    # Cells (row, column): a line probes in all cells of its row and is a witness in all of its column.
+    cell = F.explode(F.when(F.col("k").isNull(), F.array(F.struct(F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"), F.lit(0).alias("side")))).otherwise(
+        F.concat(
+            F.transform(F.sequence(F.lit(0).cast("long"), F.col("k") - 1), lambda y: F.struct(F.col("slot").alias("x"), y.alias("y"), F.lit(1).alias("side"))),
+            F.transform(F.sequence(F.lit(0).cast("long"), F.col("k") - 1), lambda x: F.struct(x.alias("x"), F.col("slot").alias("y"), F.lit(2).alias("side"))),
+        )
+    ))
+    cells = dealt.withColumn("cell", cell).select(F.xxhash64("bucket", "cell.x", "cell.y").alias("cell"), "at", "id", "sig", "index", F.col("cell.side").alias("side"), "line")
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by cell and place."""
+        lost: set[int] = set()
+        held: list[pa.RecordBatch] = []
+
+        def done() -> None:
+            t = pa.Table.from_batches(held).combine_chunks()
+            key = t.column("cell").to_numpy()
+            bounds = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
+            ids, index, side = (t.column(c).to_numpy(zero_copy_only=False) for c in ("id", "index", "side"))
+            sig, text = t.column("sig").to_numpy().view(np.uint64), t.column("line").to_pylist()
+            for s, e in zip(bounds[:-1], bounds[1:], strict=True):
+                if index[s:e].any():
+                    _settle(ids[s:e], sig[s:e], side[s:e], text[s:e], lost)
+
+        for b in batches:  # a cell may run over several batches: hold its rows until the next begins
+            while b.num_rows:
+                key = b.column(0).to_numpy()
+                if held and held[-1].column(0)[-1].as_py() != key[0]:
+                    done()
+                    held = []
+                last = int(np.flatnonzero(key == key[-1])[0])
+                if last and last < len(key):
+                    held.append(b.slice(0, last))
+                    done()
+                    held = []
+                    b = b.slice(last)
+                held.append(b)
+                b = b.slice(b.num_rows)
+        if held:
+            done()
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(lost), pa.int64())], ["h1"])
+
+    rows = cells.repartition("cell").sortWithinPartitions("cell", "at").select("cell", "id", "sig", "index", "side", "line")
+    return rows.mapInArrow(settle, "h1 long").distinct()
+
+
+def _settle(ids: np.ndarray, sig: np.ndarray, side: np.ndarray, text: list[str], lost: set[int]) -> None:
+    """Add the ids of lines that have a witness among the lines before them in this cell."""
+    for x in range(0, len(ids), 256):
+        z = min(x + 256, len(ids))
+        near = close(sig[x:z], sig[:z]) & (side[None, :z] != 1) & (ids[x:z, None] != ids[None, :z])
+        for r in range(x, z):
+            if side[r] == 2 or int(ids[r]) in lost:
+                continue
+            for y in np.flatnonzero(near[r - x, :r]):
+                if edit_distance(text[y], text[r]) <= TAU:
+                    lost.add(int(ids[r]))
+                    break
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, short_repeats: bool = False) -> DataFrame:
-    """docs with the text's repeated lines removed, and n_lines, n_kept_lines (null texts: null)."""
+def _deduped(docs: DataFrame, min_chars: int, short_repeats: bool) -> DataFrame:
+    """docs and __hg_out: (text, n_lines, n_kept_lines)."""
     first = occurrences(docs, min_chars, short_repeats).groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line", "text_id")).alias("at"))
     first = cut(first)
-    near = near_pairs(docs, min_chars)
-    place = first.groupBy("h1").agg(F.min("at").alias("at"))
-    ends = near.join(place.select(F.col("h1").alias("a"), F.col("at").alias("pa")), "a").join(place.select(F.col("h1").alias("b"), F.col("at").alias("pb")), "b")
-    losers = ends.select(F.when(F.col("pa") < F.col("pb"), F.col("b")).otherwise(F.col("a")).alias("h1")).distinct()
-    kept = first.join(losers, "h1", "left_anti").groupBy("at.doc_id", "at.text_id").agg(F.collect_list("at.line").alias("__hg_kept"))
-    lines = F.split(F.col("text"), "\n")
-    line = lambda i: F.get(F.col("__hg_lines"), i)
-    out = (lambda i: (F.length(line(i)) < min_chars) & ~line(i).rlike(WORD)) if short_repeats else (lambda i: F.length(line(i)) < min_chars)
-    left_out = F.filter(F.sequence(F.lit(0), F.size("__hg_lines") - 1), out)
-    places = F.array_sort(F.concat(left_out, F.coalesce(F.col("__hg_kept"), F.array().cast("array<bigint>")).cast("array<int>")))
-    return _apply(docs, kept, lines, places)
-
-
-def _apply(docs: DataFrame, kept: DataFrame, lines, places) -> DataFrame:
-    base = docs.drop("n_lines", "n_kept_lines")
-    columns = base.columns
-    left = base.withColumn("__hg_tid", F.xxhash64("text")).alias("d")
+    left = first.join(near_losers(docs, min_chars), "h1", "left_anti")
+    kept = left.groupBy("at.doc_id", "at.text_id").agg(F.collect_list(F.col("at.line").cast("int")).alias("__hg_kept"))
+
+    @F.arrow_udf("struct<text string, n_lines long, n_kept_lines long>")
+    def apply(texts: pa.Array, kept: pa.Array) -> pa.Array:
+        out = []
+        for t, k in zip(texts.to_pylist(), kept.to_pylist(), strict=True):
+            if t is None:
+                out.append({})
+                continue
+            lines, k = t.split("\n"), set(k or ())
+            free = (lambda x: not x.strip(SPACE)) if short_repeats else (lambda x: True)
+            stay = [x for i, x in enumerate(lines) if i in k or len(x) < min_chars and free(x)]
+            out.append({"text": "\n".join(stay), "n_lines": len(lines), "n_kept_lines": len(stay)})
+        return pa.array(out, pa.struct([("text", pa.string()), ("n_lines", pa.int64()), ("n_kept_lines", pa.int64())]))
+
+    own = docs.withColumn("__hg_tid", F.xxhash64("text")).alias("d")
     right = kept.toDF("__hg_id", "__hg_rid", "__hg_kept").alias("k")
-    both = left.join(right, (F.col("doc_id").eqNullSafe(F.col("__hg_id"))) & (F.col("__hg_tid") == F.col("__hg_rid")), "left")
-    out = both.withColumn("__hg_lines", lines).withColumn("__hg_places", places)
-    text = F.when(F.col("text").isNotNull(), F.array_join(F.transform("__hg_places", lambda i: F.get(F.col("__hg_lines"), i)), "\n"))
-    return out.withColumns({"n_lines": F.size("__hg_lines").cast("long"), "n_kept_lines": F.size("__hg_places").cast("long"), "__hg_new": text}).select(
-        *[F.col("__hg_new").alias(c) if c == "text" else F.col(c) for c in columns], "n_lines", "n_kept_lines"
-    )
+    both = own.join(right, (F.col("doc_id").eqNullSafe(F.col("__hg_id"))) & (F.col("__hg_tid") == F.col("__hg_rid")), "left")
+    return both.withColumn("__hg_out", apply("text", "__hg_kept"))
+
+
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, short_repeats: bool = False) -> DataFrame:
+    """docs with the text's repeated lines removed, and n_lines, n_kept_lines (null texts: null)."""
+    out = _deduped(docs, min_chars, short_repeats)
+    columns = [c for c in docs.columns if c not in ("n_lines", "n_kept_lines")]
+    return out.select(*[F.col("__hg_out.text").alias(c) if c == "text" else F.col(c) for c in columns], "__hg_out.n_lines", "__hg_out.n_kept_lines")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -331,11 +519,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their repeated lines removed; a document of which no word is left goes."""
-    out = dedup_lines(docs, short_repeats=True)
-    n_chars = F.length("text").cast("long")
+    out = _deduped(docs, MIN_CHARS, True)
+    new = {"text": F.col("__hg_out.text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", n_chars.cast(docs.schema["n_chars"].dataType))
-    return out.where(F.col("text").rlike(WORD)).select(*docs.columns)
+        new["n_chars"] = F.length("__hg_out.text").cast(docs.schema["n_chars"].dataType)
+    return out.where(F.col("__hg_out.text").rlike(WORD)).select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
 
 
 ORACLE = f"""

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import pytest
+
 from hedgerow.llm import decontamination, license_scan, line_dedup, ngram_jaccard
 
 
@@ -39,6 +41,77 @@ def test_stage_drops_repeats_of_short_lines(spark):
     assert got == want and 4 not in got
 
 
+def kept_lines(texts):
+    """Plain Python: each text without lines that an earlier line is within two edits of."""
+    seen, out = [], []
+    for t in texts:
+        keep = []
+        for line in (t or "").split("\n"):
+            if len(line) >= line_dedup.MIN_CHARS:
+                if not any(abs(len(x) - len(line)) < 3 and line_dedup.edit_distance(x, line) <= 2 for x in seen):
+                    keep.append(line)
+                seen.append(line)
+            else:
+                keep.append(line)
+        out.append(None if t is None else "\n".join(keep))
+    return out
+
+
+def edited(rng, line, n):
+    s = list(line)
+    for _ in range(n):
+        k = rng.randrange(len(s) + 1)
+        s[k : k + rng.randrange(2)] = [rng.choice("abcd ")] * rng.randrange(2)
+    return "".join(s)
+
+
+@pytest.mark.parametrize(("hot", "grid"), [(8, 5), (8, 8192), (4096, 7)])
+def test_hot_segments_are_split(spark, monkeypatch, hot, grid):
+    monkeypatch.setattr(line_dedup, "HOT", hot)
+    monkeypatch.setattr(line_dedup, "GRID", grid)
+    rng = random.Random(21)
+    head, tail, middle = "a common beginning of a line ", " and a common end of a line", " common in the middle "
+    lines = [head + prose(rng, 12) for _ in range(50)] + [prose(rng, 12) + tail for _ in range(50)]
+    lines += [prose(rng, 5)[:20] + middle + prose(rng, 5)[:20] for _ in range(50)]
+    lines += [edited(rng, rng.choice(lines), rng.randrange(1, 5)) for _ in range(250)]
+    rng.shuffle(lines)
+    texts = ["\n".join(lines[i : i + 4]) for i in range(0, len(lines), 4)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(df).collect()}
+    assert got == dict(enumerate(kept_lines(texts)))
+
+
+def test_rows_of_a_large_group_of_near_copies_grow_with_its_size(spark):
+    rng = random.Random(22)
+    base = prose(rng, 14)
+    lines = list({edited(rng, base, 2) for _ in range(2000)})
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    assert line_dedup.members(df, line_dedup.MIN_CHARS).count() <= 12 * len(lines)
+    lost = line_dedup.near_losers(df.where("doc_id < 400")).count()
+    assert lost == sum(not x for x in kept_lines(lines[:400]))
+
+
+def test_line_dedup_of_nothing_and_of_clashing_names(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string, n_lines int")
+    assert line_dedup.dedup_lines(empty).count() == 0 and line_dedup.stage(spark, empty, "").columns == empty.columns
+    rows = [(None, "the same line of text for all\nx", 77, "a"), (4, "the same line of text for all\ny", 78, "b"), (None, None, 79, "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_lines int, n_kept_lines string")
+    assert sorted(map(tuple, line_dedup.stage(spark, df, "").collect()), key=repr) == sorted([rows[0], (4, "y", 78, "b")], key=repr)
+    assert {(r["text"], r["n_lines"], r["n_kept_lines"]) for r in line_dedup.dedup_lines(df).collect()} == {(rows[0][1], 2, 2), ("y", 2, 1), (None, None, None)}
+
+
+def test_signature_of_long_and_short_lines():
+    import numpy as np
+
+    rng = random.Random(23)
+    for n in (30, 300, 70_000):
+        a = "".join(rng.choice("abc é😀") for _ in range(n))
+        b = edited(rng, a, 2)
+        points = np.frombuffer((a + b).encode("utf-32-le"), np.uint32)
+        sig = line_dedup.signature(points, np.array([0, len(a)]), np.array([len(a), len(b)]))
+        assert line_dedup.close(sig[:1], sig[1:])[0, 0]
+
+
 # ---- Near duplicates
 
 

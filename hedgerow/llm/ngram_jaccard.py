@@ -9,9 +9,11 @@ Documents link when |A & B| >= threshold * |A | B|. Equal sets are one node. The
    are dealt by node instead of by hash, with a marker left behind, so no n-gram fills one task.
 2. Groups. Survivors with the same smallest shared n-gram in one of a few random orders meet in blocks of at most about
    `BLOCK` nodes. A block's member links are computed in its task by a 0/1 matrix product over the block's token union
-   and reduced to a spanning set by union-find. The components so far are the groups, again in blocks.
-3. Matrix. Prefix tokens (n-grams of one node first, then rare ones by a count sketch of fixed size) of all members, one entry per block and
-   token, are the token-group matrix; blocks of different groups that share an entry are candidates. A candidate
+   and reduced to a spanning set by union-find. The components so far are the groups, again in blocks; nodes without a
+   link stay in the block of their smallest n-gram, if it holds several of them.
+3. Matrix. Prefix tokens (n-grams of one node first, then rare ones by a count sketch of fixed size) of all members, one
+   entry per block and token with the sizes of the block's sets, are the token-group matrix; blocks of different groups
+   that share an entry and whose sizes allow a link are candidates. A candidate
    block's nodes are bounded by their overlap with the other block's token union, first on bitmaps of the unions (2,048
    bits, so that few nodes travel), then in full; only where a node reaches the least overlap is the block opened and its
    rows compared. This finds every link that the groups did not hold.
@@ -45,6 +47,8 @@ PERCENT = 80
 BLOCK = 256
 #: Counters of the sketch that puts rare n-grams first, and the slices in which they are summed.
 COUNTERS, SLICES = 1 << 20, 64
+#: So many nodes that are alike but not linked are one block of the matrix.
+MERGED = 8
 #: Bits of a block's token bitmap.
 OUTLINE = 2048
 #: Random orders by whose smallest n-gram nodes are first grouped.
@@ -357,19 +361,32 @@ def _matrix(sets_: list[np.ndarray], cols: np.ndarray) -> np.ndarray:
     return out
 
 
-def _grouped(nodes: DataFrame) -> DataFrame:
-    """(block, node, n, shared): nodes under each of their keys that others have too, in blocks of about BLOCK."""
-    each = nodes.select("node", F.explode("keys").alias("key")).distinct()
+def _dealt(nodes: DataFrame) -> DataFrame:
+    """(node, block, own): nodes under each of their keys that others have too, in blocks of about BLOCK; own where the key
+    is the node's first."""
+    each = nodes.select("node", F.posexplode("keys").alias("place", "key")).groupBy("node", "key").agg((F.min("place") == 0).alias("own"))
     many = each.groupBy("key").count().where("count > 1").select("key", F.ceil(F.col("count") / BLOCK).alias("k"))
-    dealt = each.join(many, "key").select("node", F.xxhash64("key", F.pmod(F.xxhash64("node", "key"), "k")).alias("block"))
+    return each.join(many, "key").select("node", F.xxhash64("key", F.pmod(F.xxhash64("node", "key"), "k")).alias("block"), "own")
+
+
+def _grouped(nodes: DataFrame, dealt: DataFrame) -> DataFrame:
+    """(block, node, n, shared)"""
     return dealt.join(nodes.select(F.col("node").alias("_node"), "n", "shared"), F.col("node") == F.col("_node")).select("block", "node", "n", "shared")
 
 
-def _blocks(nodes: DataFrame, parts: DataFrame) -> DataFrame:
-    """(block, part, node, n, shared): nodes by the component that is known so far, in blocks of about BLOCK."""
+def _blocks(nodes: DataFrame, parts: DataFrame, dealt: DataFrame) -> DataFrame:
+    """(block, part, node, n, shared): nodes in blocks of about BLOCK; no links are left to find within a part.
+
+    Linked nodes go by the component that is known so far. Nodes that are linked with none yet stay with the others of the
+    block where their first key put them, if these are MERGED or more: all of them have been compared there, and so many
+    alike but unlinked nodes would make a candidate of each of their pairs.
+    """
     many = parts.groupBy("part").count().where(F.col("count") > BLOCK).select("part", F.ceil(F.col("count") / BLOCK).alias("k"))
-    dealt = parts.join(many, "part", "left").select("node", "part", F.xxhash64("part", F.pmod(F.xxhash64("node", F.lit("block")), F.coalesce("k", F.lit(1)))).alias("block"))
-    known = dealt.toDF("_node", "part", "block")
+    linked = parts.join(many, "part", "left").select("node", "part", F.xxhash64("part", F.pmod(F.xxhash64("node", F.lit("block")), F.coalesce("k", F.lit(1)))).alias("block"))
+    alone = dealt.where("own").join(parts.select("node"), "node", "left_anti").select("node", "block")
+    full = alone.groupBy("block").count().where(F.col("count") >= MERGED).select("block")
+    merged = alone.join(full, "block").select("node", F.col("block").alias("part"), F.xxhash64("block", F.lit("alone")).alias("block"))
+    known = linked.unionByName(merged).toDF("_node", "part", "block")
     own = nodes.join(known, F.col("node") == F.col("_node"), "left")
     return own.select(F.coalesce("block", F.xxhash64("node", F.lit(0))).alias("block"), F.coalesce("part", "node").alias("part"), "node", "n", "shared")
 
@@ -430,9 +447,10 @@ def links(docs: DataFrame) -> DataFrame:
         other = np.flatnonzero(root != np.arange(len(node)))
         return pa.table({"a": _ints(node[root[other]]), "b": _ints(node[other])})
 
-    within = cut(_grouped(alive).groupBy("block").applyInArrow(inside, "a long, b long").distinct())
+    dealt = cut(_dealt(alive))
+    within = cut(_grouped(alive, dealt).groupBy("block").applyInArrow(inside, "a long, b long").distinct())
     ends = within.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    nodes = cut(_blocks(alive, components(within, ends.select("node", F.col("node").alias("label"))).toDF("node", "part")))
+    nodes = cut(_blocks(alive, components(within, ends.select("node", F.col("node").alias("label"))).toDF("node", "part"), dealt))
 
     shared_counts = docs.sparkSession.sparkContext.broadcast(_frequencies(alive))  # 4 MB for any input
 
@@ -443,30 +461,30 @@ def links(docs: DataFrame) -> DataFrame:
             size = [len(p) for p in pre]
             token = np.concatenate(pre).view(np.int64) if pre else np.zeros(0, np.int64)
             if len(token):
-                rows = np.unique(np.stack([token, np.repeat(block, size), np.repeat(part, size)], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([_ints(rows[:, k]) for k in range(3)], ["token", "block", "part"])
+                rows = np.unique(np.stack([token, *(np.repeat(x, size) for x in (block, part, n))], 1), axis=0)
+                yield pa.RecordBatch.from_arrays([_ints(rows[:, k]) for k in (0, 1, 2, 3, 3)], ["token", "block", "part", "least", "most"])
 
-    matrix = nodes.select("block", "part", "n", "shared").mapInArrow(entries, "token long, block long, part long").distinct()
+    rows = nodes.select("block", "part", "n", "shared").mapInArrow(entries, "token long, block long, part long, least long, most long")
+    matrix = rows.groupBy("token", "block", "part").agg(F.min("least").alias("least"), F.max("most").alias("most"))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs of blocks of different components with a common entry; a token's entries are in one partition."""
-        t = pa.Table.from_batches(list(batches), pa.schema([("token", pa.int64()), ("block", pa.int64()), ("part", pa.int64())]))
-        token, block, part = (t.column(k).to_numpy() for k in range(3))
+        """Pairs of blocks of different parts with a common entry; a token's entries are in one partition."""
+        t = pa.Table.from_batches(list(batches), pa.schema([(c, pa.int64()) for c in ("token", "block", "part", "least", "most")]))
+        token, block, part, least, most = (t.column(k).to_numpy() for k in range(5))
         if not len(token):
             return
         order = np.lexsort((block, token))
-        token, block, part = token[order], block[order], part[order]
+        token, block, part, least, most = (x[order] for x in (token, block, part, least, most))
         bounds = np.concatenate([[0], np.flatnonzero(np.diff(token)) + 1, [len(token)]])
         found = [np.zeros((0, 2), np.int64)]
         held = 0
         for s, e in zip(bounds[:-1], bounds[1:], strict=True):
-            if e - s < 2:
-                continue
-            x, c = block[s:e], part[s:e]
-            for i in range(len(x) - 1):
-                other = x[i + 1 :][c[i + 1 :] != c[i]]
+            for i in range(s, e - 1):
+                # Sets in the ratio of their sizes under PERCENT can't link.
+                fits = (part[i + 1 : e] != part[i]) & (100 * most[i + 1 : e] >= PERCENT * least[i]) & (100 * most[i] >= PERCENT * least[i + 1 : e])
+                other = block[i + 1 : e][fits]
                 if len(other):
-                    found.append(np.stack([np.full(len(other), x[i]), other], 1))
+                    found.append(np.stack([np.full(len(other), block[i]), other], 1))
                     held += len(other)
             if held > 1_000_000:
                 found, held = [np.unique(np.concatenate(found), axis=0)], 0

@@ -115,6 +115,52 @@ def test_signature_of_long_and_short_lines():
 # ---- Near duplicates
 
 
+def shingle_set(text):
+    w = text.split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+
+def test_many_alike_but_unlinked_documents(spark, monkeypatch):
+    """A common passage within the prefixes of documents that all survive: copies in pairs, pairs unlinked."""
+    rng = random.Random(31)
+    pairs = []
+    cut = ngram_jaccard.cut
+
+    def watched(df):
+        out = cut(df)
+        if out.columns == ["p", "q"]:
+            pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_jaccard, "cut", watched)
+    passage = prose(rng, 90).split()
+    texts, parts = [], [prose(rng, 9).split() for _ in range(40)]
+    for i in range(600):
+        w = list(passage)
+        for x in rng.sample(range(0, 90, 9), 3):
+            w[x : x + 9] = rng.choice(parts)
+        texts.append(" ".join(w))
+    texts = list(dict.fromkeys(texts))
+    sets = [shingle_set(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = sorted((r["doc_id"], r["component_id"]) for r in ngram_jaccard.near_duplicates(df).collect())
+    assert got == [(i, find(i)) for i in range(len(texts))]
+    assert len(set(find(i) for i in range(len(texts)))) > 300 and pairs[0] < 5000
+
+
 def test_near_duplicates_stage_of_null_and_repeated_ids(spark):
     rng = random.Random(12)
     a, b, c, d, e, f = (prose(rng, 60) for _ in range(6))

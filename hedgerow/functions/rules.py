@@ -1,7 +1,8 @@
 """Rule rows of the pattern scanners: what they look for, with scores and messages.
 
-Patterns are in Python's dialect; `regex.to_java` carries them over. `needs` lists lower-case literals of which a text
-must hold one for the pattern to match: a gate that spares most texts the pattern.
+Patterns are in Python's dialect. Two gates spare most texts the pattern, both on the lower-cased text: `needs` lists
+literals of which it must hold one, `probe` is a pattern that it must match and that starts with plain characters, so
+that it is found fast.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ class Rule:
     message: str
     ignore_case: bool = False
     needs: tuple[str, ...] = ()
+    probe: str = ""
 
 
 # Patterns, scores and messages that results depend on.
@@ -51,6 +53,7 @@ PROMPT_INJECTION = (
     ),
 )
 
+# Patterns, scores and messages that results depend on.
 PROMPT_LEAK = (
     Rule(
         r"\bmy\s+(?:system prompt|system instructions|initial instructions|hidden instructions|developer instructions|developer message)\b",
@@ -66,6 +69,7 @@ PROMPT_LEAK = (
     ),
 )
 
+# Patterns, scores and messages that results depend on.
 CODE_EXECUTION = (
     Rule(r"\bos\.system\s*\(", 0.9, "Shell command via os.system", needs=("os.system",)),
     Rule(r"\bsubprocess\.\s*(?:Popen|call|run|check_output|check_call)\s*\(", 0.9, "Subprocess invocation", needs=("subprocess.",)),
@@ -77,6 +81,7 @@ CODE_EXECUTION = (
     Rule(r"\bsocket\.\s*(?:socket|create_connection)\s*\(", 0.7, "Raw socket use", needs=("socket.",)),
 )
 
+# Patterns, scores and messages that results depend on.
 EXFILTRATION = (
     Rule(
         r"\bhere(?:'s| is) (?:the |your |a )?(?:api key|secret key|client secret|access token|password|private key|credentials)\b",
@@ -112,19 +117,22 @@ SECRETS = (
     Rule(r"\bpypi-[A-Za-z0-9_\-]{16,}", 0.95, "PyPI token", needs=("pypi-",)),
     Rule(r"\bSG\.[A-Za-z0-9_\-]{16,}\.[A-Za-z0-9_\-]{16,}", 0.95, "SendGrid key", needs=("sg.",)),
 )
-JWT = Rule(r"\b[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-]{2,}", 0.9, "JSON Web Token", needs=("ey",))
+JWT = Rule(r"\b[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-]{2,}", 0.9, "JSON Web Token", needs=("ey",), probe=r"\.[a-z0-9_\-]{10,}\.")
 ASSIGNMENT = Rule(
     r"""\b(?:api[_ -]?key|secret[_ -]?key|access[_ -]?key|client[_ -]?secret|access[_ -]?token|auth[_ -]?token|password|passwd|secret|token)\s*[=:]\s*["']?[^\s"',;]{12,}["']?""",
     0.85, "Credential assignment", True, ("key", "secret", "token", "passw"),
 )
 RANDOM_TOKEN = Rule(r"[A-Za-z0-9_\-+/=]{20,}", 0.6, "Unlabelled high-entropy token")
 
+# Patterns, scores and messages that results depend on.
 EMAIL = Rule(r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", 0.9, "Email address", needs=("@",))
-PHONE = Rule(r"(?<!\d)(?:\+?1[-.\s]?)?(?:\(?\d{3}\)?[-.\s]?)\d{3}[-.\s]?\d{4}(?!\d)", 0.7, "Possible phone number")
-SSN = Rule(r"(?<!\d)\d{3}-\d{2}-\d{4}(?!\d)", 0.95, "US Social Security number", needs=("-",))
-CARD = Rule(r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)", 0.9, "Credit card number (Luhn-valid)")
+PHONE = Rule(r"(?<!\d)(?:\+?1[-.\s]?)?(?:\(?\d{3}\)?[-.\s]?)\d{3}[-.\s]?\d{4}(?!\d)", 0.7, "Possible phone number", probe=r"\d{3}[-.\s]?\d{4}(?!\d)")
+SSN = Rule(r"(?<!\d)\d{3}-\d{2}-\d{4}(?!\d)", 0.95, "US Social Security number", needs=("-",), probe=r"\d{3}-\d{2}-\d{4}")
+CARD = Rule(r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)", 0.9, "Credit card number (Luhn-valid)", probe=r"\d(?:[ -]?\d){12}")
+# Patterns, scores and messages that results depend on.
 URL = Rule(r"https?://[^\s<>\")\]]+", 0.75, "URL", True, ("http",))
 
+# Phrases and words that results depend on.
 DEFAULT_TOPICS = {
     "weapons": [
         "build a bomb", "make a bomb", "pipe bomb", "molotov", "ricin", "anthrax", "dirty bomb", "improvised explosive",
@@ -134,6 +142,7 @@ DEFAULT_TOPICS = {
     "illicit_behavior": ["how to hack", "break into", "pick a lock", "shoplifting tips", "make meth", "cook meth", "credit card fraud"],
 }
 
+# Phrases and words that results depend on.
 PROFANITY = (
     "fuck fucking fucker fucked shit shitting shite bullshit horseshit asshole arsehole bitch bitches bastard bastards dick "
     "dicks prick cunt twat wanker tosser piss pissed pissing damn damned goddamn crap crappy slut whore skank douche "

@@ -16,6 +16,22 @@ def estimate_tokens(text: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(F.length(text) / 4)).cast("int")
 
 
+def estimate_tokens_text(text: str) -> int:
+    return max(1, len(text) // 4)
+
+
+def ssn_valid_text(ssn: str) -> bool:
+    d = ssn.replace("-", "")
+    return len(d) == 9 and d.isdigit() and int(d[:3]) not in (0, 666, *range(900, 1000)) and int(d[3:5]) > 0 and int(d[5:]) > 0
+
+
+def card_valid_text(candidate: str) -> bool:
+    """Luhn over the digits of a candidate with separators; of other scripts' digits the code point counts from "0"."""
+    values = [ord(c) - 48 for c in reversed(candidate) if c not in " -"]
+    twice = [2 * v for v in values[1::2]]
+    return (sum(values[::2]) + sum(v - 9 if v > 9 else v for v in twice)) % 10 == 0
+
+
 def ssn_valid(ssn: Column) -> Column:
     """Nine digits (dashes aside) with an area, group and serial that can be issued."""
     d = F.replace(ssn, F.lit("-"))
@@ -55,6 +71,12 @@ def looks_random(token: Column, min_length: int = 20, min_entropy: float = 4.2)
     return shape & F.when(is_hex, (n >= 32) & (e >= 3.7)).otherwise((n >= min_length) & (e >= min_entropy))
 
 
+def looks_random_text(token: str, min_length: int = 20, min_entropy: float = 4.2) -> bool:
+    if all(c in "0123456789abcdefABCDEF" for c in token):
+        return len(token) >= 32 and shannon_entropy(token) >= 3.7
+    return len(token) >= min_length and shannon_entropy(token) >= min_entropy
+
+
 def jwt_valid(token: Column) -> Column:
     """Three dotted parts of which the first two decode to JSON objects."""
 
@@ -98,7 +120,9 @@ def decode_utf8(data: Column) -> Column:
 
 
 def register(spark: SparkSession) -> None:
-    """Temporary SQL functions of these names, as SQL expressions."""
+    """Temporary SQL functions of these names: SQL expressions, and Arrow functions for those that need Python."""
+    for name, fn, kind in (("jwt_valid", jwt_valid_text, "boolean"), ("looks_random", looks_random_text, "boolean"), ("shannon_entropy", shannon_entropy, "double")):
+        spark.udf.register(name, F.udf(lambda t, fn=fn: None if t is None else fn(t), kind, useArrow=True))
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION estimate_tokens(t STRING) RETURNS INT RETURN greatest(1, length(t) div 4)")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION luhn_valid(d STRING) RETURNS BOOLEAN RETURN luhn_check(d)")
     spark.sql(

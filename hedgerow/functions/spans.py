@@ -1,158 +1,23 @@
-"""Findings as Spark columns: matches of a pattern with code-point offsets, from built-in functions."""
+"""Findings as a column type, and as Arrow arrays."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 FINDING = "struct<scanner:string,score:double,start:int,end:int,matched_text:string,message:string>"
 FINDINGS = f"array<{FINDING}>"
-_PLACED = "array<struct<start:int,text:string>>"
+_FIELDS = [("scanner", pa.string()), ("score", pa.float64()), ("start", pa.int32()), ("end", pa.int32()), ("matched_text", pa.string()), ("message", pa.string())]
 
 
 def none() -> Column:
     return F.array().cast(FINDINGS)
 
 
-#: Matches whose offsets are summed together; see `matches`.
-STEP = 256
-
-
-def let(value: Column, body) -> Column:
-    """body(value), with value evaluated once per row however often body uses it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def matches(text: Column, java: str) -> Column:
-    """array<struct<start,text>> of the matches, left to right."""
-    return let(F.regexp_extract_all(text, F.lit(java), F.lit(0)), lambda hit: let(F.split(text, java, -1), lambda gap: offsets(hit, gap)))
-
-
-def offsets(hit: Column, gap: Column) -> Column:
-    """Places of matches, given these and the gaps around them.
-
-    Starts are sums of the lengths of the gaps and matches before: `length` counts code points, whereas the regex
-    position functions count UTF-16 units. Sums are kept for each run of STEP matches, so that a text full of matches
-    does not cost the square of their number.
-    """
-    zero = F.lit(0)
-    total = lambda xs: F.aggregate(xs, zero, lambda a, x: a + x)
-
-    def by_run(size: Column) -> Column:
-        runs = F.transform(F.sequence(zero, F.floor((F.size(hit) - 1) / STEP).cast("int")), lambda k: total(F.slice(size, k * STEP + 1, STEP)))
-
-        def starts(run: Column) -> Column:
-            def place(h: Column, i: Column) -> Column:
-                k = F.floor(i / STEP).cast("int")
-                before = total(F.slice(run, 1, k)) + total(F.slice(size, k * STEP + 1, i - k * STEP))
-                return F.struct((before + F.length(F.get(gap, i))).cast("int").alias("start"), h.alias("text"))
-
-            return F.transform(hit, place)
-
-        return let(runs, starts)
-
-    sizes = F.zip_with(gap, hit, lambda g, h: F.length(g) + F.coalesce(F.length(h), zero))
-    return F.when(F.size(hit) == 0, F.array().cast(_PLACED)).otherwise(let(sizes, by_run))
-
-
-def finding(scanner: str, score: float | Column, start: Column, text: Column, message: str | Column) -> Column:
-    as_col = lambda x: x if isinstance(x, Column) else F.lit(x)
-    return F.struct(
-        F.lit(scanner).alias("scanner"),
-        as_col(score).cast("double").alias("score"),
-        start.cast("int").alias("start"),
-        (start + F.length(text)).cast("int").alias("end"),
-        text.alias("matched_text"),
-        as_col(message).alias("message"),
-    )
-
-
-def whole_text(scanner: str, score: float, text: Column, message: str | Column, preview: int = 60) -> Column:
-    """One finding over all of the text, of which it shows a preview."""
-    as_col = message if isinstance(message, Column) else F.lit(message)
-    return F.array(
-        F.struct(
-            F.lit(scanner).alias("scanner"), F.lit(float(score)).alias("score"), F.lit(0).alias("start"), F.length(text).alias("end"),
-            F.substring(text, 1, preview).alias("matched_text"), as_col.alias("message"),
-        )
-    ).cast(FINDINGS)
-
-
-def has_any(folded: Column, literals: tuple[str, ...]) -> Column:
-    """Whether a lower-cased text holds one of some literals: a cheap gate before a pattern."""
-    out = F.lit(False)
-    for x in literals:
-        out = out | F.contains(folded, F.lit(x))
-    return out
-
-
-@dataclass(frozen=True)
-class Probe:
-    """A pattern to look for: one row of the compiled rule table. keep filters matched texts; tag marks its findings.
-
-    A score of COUNTED stands for the word-list rule: score and message follow from the number of matches.
-    """
-
-    scanner: str
-    score: float
-    message: str
-    java: str
-    gate: Column | None = None
-    keep: Callable[[Column], Column] | None = None
-    tag: int = 0
-
-
-COUNTED = -1.0
-
-
-def compile_probes(text: Column, probes: list[Probe]) -> Column:
-    """array<struct<tag,f>>: findings of all probes in their order.
-
-    The rules share one expression for offsets; each adds only its gate, its extraction and its literals, so that a
-    policy of seventy rules stays a small plan.
-    """
-    if not probes:
-        return F.array().cast(f"array<struct<tag:int,f:{FINDING}>>")
-    each = []
-    for p in probes:
-        hits = F.regexp_extract_all(text, F.lit(p.java), F.lit(0))
-        each.append(hits if p.gate is None else F.when(p.gate, hits))
-    hit = F.filter(F.transform(F.array(*each), lambda h, k: F.struct(k.alias("rule"), h.alias("hits"))), lambda r: F.size(r["hits"]) > 0)
-    # What belongs to a rule is looked up by its number, only for rules that matched.
-    java, scanner, message = (F.lit([getattr(p, x) for p in probes]) for x in ("java", "scanner", "message"))
-    scores, tags = F.lit([float(p.score) for p in probes]), F.lit([p.tag for p in probes])
-
-    def findings(r: Column) -> Column:
-        n, k = F.size(r["hits"]), r["rule"]
-        counted = F.get(scores, k) < 0
-        score = F.when(counted, F.round(F.least(F.lit(0.95), F.lit(0.4) + F.lit(0.15) * n), 2)).otherwise(F.get(scores, k))
-        said = F.when(counted, F.concat(F.get(message, k), n.cast("string"), F.lit(" hit(s) in text)"))).otherwise(F.get(message, k))
-
-        def one(m: Column) -> Column:
-            f = F.struct(F.get(scanner, k).alias("scanner"), score.alias("score"), m["start"].alias("start"), (m["start"] + F.length(m["text"])).alias("end"), m["text"].alias("matched_text"), said.alias("message"))
-            return F.struct(F.get(tags, k).alias("tag"), k.alias("rule"), f.alias("f"))
-
-        return let(F.split(text, F.get(java, k), -1), lambda gaps: F.transform(offsets(r["hits"], gaps), one))
-
-    out = F.flatten(F.transform(hit, findings))
-    if any(p.keep is not None for p in probes):
-
-        def kept(x: Column) -> Column:
-            ok = F.lit(True)
-            for k, p in enumerate(probes):
-                if p.keep is not None:
-                    ok = F.when(x["rule"] == k, p.keep(x["f"]["matched_text"])).otherwise(ok)
-            return ok
-
-        out = F.filter(out, kept)
-    return F.transform(out, lambda x: F.struct(x["tag"].alias("tag"), x["f"].alias("f"))).cast(f"array<struct<tag:int,f:{FINDING}>>")
-
-
-def untagged(tagged: Column, tag: int | None = None) -> Column:
-    """The findings of a tag, or of all."""
-    if tag is not None:
-        tagged = F.filter(tagged, lambda x: x["tag"] == tag)
-    return F.transform(tagged, lambda x: x["f"]).cast(FINDINGS)
+def findings_array(rows: list[list[tuple]]) -> pa.Array:
+    """Lists of (scanner, score, start, end, matched text, message), one list a text."""
+    flat = list(zip(*(f for r in rows for f in r), strict=True)) or [()] * len(_FIELDS)
+    structs = pa.StructArray.from_arrays([pa.array(x, kind) for x, (_, kind) in zip(flat, _FIELDS, strict=True)], [n for n, _ in _FIELDS])
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), structs)

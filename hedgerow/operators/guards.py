@@ -8,9 +8,11 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import decode_utf8
 from .policy import Policy, fired
 
 
@@ -78,69 +80,107 @@ def guard_joined(turns: DataFrame, policy: Policy, conv_col: str = "conv_id", tu
 
 def guard_http(log: DataFrame, policy: Policy, path_col: str = "path", request_col: str = "request", response_col: str = "response", include: list[str] | None = None, redact: bool = False) -> DataFrame:
     """Requests with status: 400 where the request is blocked, 500 where the response is; with redact, responses are
-    never blocked and every finding in them is replaced. Paths outside the included prefixes pass."""
+    never blocked and every finding in them is replaced. Paths outside the included prefixes pass. Bodies are strings or
+    bytes; bytes are read as UTF-8, invalid sequences left out."""
     prefixes = F.lit(True)
     if include is not None:
         prefixes = F.lit(False)
         for p in include:
             prefixes = prefixes | F.startswith(F.col(path_col), F.lit(p))
-    judged = policy.apply(log, request_col).withColumnsRenamed({"findings": "request_findings", "blocked": "_in"})
-    judged = policy.apply(judged, response_col, redact=True).withColumnsRenamed({"findings": "response_findings", "blocked": "_out"})
-    bad_out = F.lit(False) if redact else F.col("_out")
-    status = F.when(prefixes & F.col("_in"), 400).when(prefixes & bad_out, 500).otherwise(200)
-    body = F.when(prefixes & F.lit(redact), F.col("redacted_text")).otherwise(F.col(response_col))
+    binary = dict(log.dtypes)[response_col] == "binary"
+    text = lambda c: decode_utf8(F.col(c)) if dict(log.dtypes)[c] == "binary" else F.col(c)
+    judged = log.withColumns({"__hg_q": text(request_col), "__hg_r": text(response_col)})
+    judged = policy.apply(judged, "__hg_q").withColumnsRenamed({"findings": "request_findings", "blocked": "__hg_in"})
+    judged = policy.apply(judged, "__hg_r", redact=True).withColumnsRenamed({"findings": "response_findings", "blocked": "__hg_out"})
+    bad_out = F.lit(False) if redact else F.col("__hg_out")
+    status = F.when(prefixes & F.col("__hg_in"), 400).when(prefixes & bad_out, 500).otherwise(200)
+    redacted = F.encode("redacted_text", "UTF-8") if binary else F.col("redacted_text")
+    body = F.when(prefixes & F.lit(redact) & (F.size("response_findings") > 0), redacted).otherwise(F.col(response_col))
     return judged.withColumns({"status": status, response_col: body}).select(*log.columns, "status", "request_findings", "response_findings")
 
 
-def texts_from_content(content: Any) -> list[str]:
-    """All texts of a message content: a string, a list of strings and blocks with text or nested content, or nothing."""
+Change = Callable[[str], str]
+
+
+def map_content(content: Any, fn: Change) -> Any:
+    """A message content with fn applied to its texts: a string, or strings and blocks with text and nested content."""
     if isinstance(content, str):
-        return [content]
+        return fn(content)
     if isinstance(content, dict):
-        content = [content]
-    out: list[str] = []
-    for block in content if isinstance(content, list | tuple) else []:
-        if isinstance(block, str):
-            out.append(block)
-        elif isinstance(block, dict):
-            if isinstance(block.get("text"), str):
-                out.append(block["text"])
-            elif block.get("content") is not None:
-                out += texts_from_content(block["content"])
-    return out
+        own = {"text": fn(content["text"])} if isinstance(content.get("text"), str) else {}
+        return content | own | ({"content": map_content(content["content"], fn)} if content.get("content") is not None else {})
+    return [map_content(x, fn) for x in content] if isinstance(content, list | tuple) else content
+
+
+def map_messages(messages: Any, fn: Change) -> Any:
+    if not isinstance(messages, list | tuple):
+        return messages
+    return [m | {"content": map_content(m.get("content"), fn)} if isinstance(m, dict) and "content" in m else m for m in messages]
+
+
+def map_request(payload: dict, fn: Change) -> dict:
+    """fn applied to what a chat, completion or responses request sends: messages, system, prompt, input, instructions."""
+    strings = lambda x: [fn(p) if isinstance(p, str) else p for p in x] if isinstance(x, list) else x
+    kinds = {
+        "messages": lambda x: map_messages(x, fn), "system": lambda x: map_content(x, fn), "prompt": lambda x: fn(x) if isinstance(x, str) else strings(x),
+        "input": lambda x: fn(x) if isinstance(x, str) else map_messages(x, fn), "instructions": lambda x: fn(x) if isinstance(x, str) else x,
+    }
+    return payload | {k: change(payload[k]) for k, change in kinds.items() if k in payload}
+
+
+def map_response(payload: dict, fn: Change) -> dict:
+    """fn applied to what a response holds: output_text, completion, output and content blocks, choices."""
+    blocks = lambda x: map_content(x, fn) if isinstance(x, list) else x
+    plain = lambda x: fn(x) if isinstance(x, str) else x
+    item = lambda x: x | {"content": blocks(x["content"])} if isinstance(x, dict) and "content" in x else x
 
+    def choice(c: Any) -> Any:
+        if not isinstance(c, dict):
+            return c
+        m = c.get("message")
+        said = {"message": m | {"content": plain(m["content"])}} if isinstance(m, dict) and "content" in m else {}
+        return c | said | ({"text": plain(c["text"])} if "text" in c else {})
 
-def texts_from_messages(messages: Any) -> list[str]:
-    return [t for m in messages if isinstance(m, dict) for t in texts_from_content(m.get("content"))] if isinstance(messages, list | tuple) else []
+    each = lambda f: lambda x: [f(y) for y in x] if isinstance(x, list) else x
+    kinds = {"output_text": plain, "completion": plain, "output": each(item), "content": blocks, "choices": each(choice)}
+    return payload | {k: change(payload[k]) for k, change in kinds.items() if k in payload}
 
 
 def request_texts(payload: dict) -> list[str]:
-    """Texts a chat, completion or responses request sends: messages, system, prompt, input, instructions."""
-    out = texts_from_messages(payload.get("messages")) + texts_from_content(payload.get("system"))
-    prompt, given = payload.get("prompt"), payload.get("input")
-    out += [prompt] if isinstance(prompt, str) else [p for p in prompt if isinstance(p, str)] if isinstance(prompt, list) else []
-    out += [given] if isinstance(given, str) else texts_from_messages(given)
-    return out + ([payload["instructions"]] if isinstance(payload.get("instructions"), str) else [])
+    return _texts(map_request, payload)
 
 
 def response_texts(payload: dict) -> list[str]:
-    """Texts a response holds: output_text, output and content blocks, completion, choices."""
-    out = [payload[k] for k in ("output_text", "completion") if isinstance(payload.get(k), str)]
-    for item in payload.get("output") or []:
-        if isinstance(item, dict) and isinstance(item.get("content"), list):
-            out += texts_from_content(item["content"])
-    if isinstance(payload.get("content"), list):
-        out += texts_from_content(payload["content"])
-    for choice in payload.get("choices") or []:
-        if isinstance(choice, dict):
-            message = choice.get("message")
-            if isinstance(message, dict) and isinstance(message.get("content"), str):
-                out.append(message["content"])
-            if isinstance(choice.get("text"), str):
-                out.append(choice["text"])
+    return _texts(map_response, payload)
+
+
+def _texts(walk: Callable[[dict, Change], dict], payload: dict) -> list[str]:
+    out: list[str] = []
+    walk(payload, lambda t: (out.append(t), t)[1])
     return out
 
 
+def redact_payloads(df: DataFrame, policy: Policy, payload_col: str, kind: str = "response") -> DataFrame:
+    """df with the blocked texts of its JSON payloads redacted in place; all else in a payload stays. Payloads that are no
+    JSON objects, or have nothing to redact, stay byte by byte."""
+    walk = map_request if kind == "request" else map_response
+
+    @F.arrow_udf("string")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in batches:
+            out = b.to_pylist()
+            for k, v in enumerate(out):
+                try:
+                    x = json.loads(v) if v is not None else None
+                except ValueError:
+                    continue
+                if isinstance(x, dict) and (new := walk(x, policy.redacted_if_blocked)) != x:
+                    out[k] = json.dumps(new, ensure_ascii=False)
+            yield pa.array(out, pa.string())
+
+    return df.withColumn(payload_col, run(F.col(payload_col)))
+
+
 def payload_texts(payload: Column, kind: str = "request") -> Column:
     """array<string> of the texts in a JSON payload; malformed JSON has none."""
     take = request_texts if kind == "request" else response_texts

@@ -1,21 +1,23 @@
 """Policies: an ordered set of scanners with thresholds, compiled into columns of a DataFrame.
 
 `Policy.apply(df, "text")` adds findings (by score, ties in scanner order), blocked and, asked for, redacted_text. The
-plan is scan -> project (-> Arrow for scanners that need it) -> project: no shuffle, so it runs alike on a stream.
-Null texts have no findings, aren't blocked and stay null.
+plan is scan -> one Arrow pass of all built-in scanners -> project: no shuffle, so it runs alike on a stream. With
+FAIL_FAST the pass stops at the first scanner that finds something. Scanners that are columns of the user's own are
+evaluated beside it. Null texts have no findings, aren't blocked and stay null.
 """
 
 from __future__ import annotations
 
 import json
-from dataclasses import replace
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.normalize import normalized
-from ..functions.spans import FINDING, FINDINGS, Probe, compile_probes, none, untagged
-from .scanners import REGISTRY, Exfiltration, Pii, Probing, Scanner, Secrets, Text, _by_python, default_scanners, fold, full_scanners, renamed, user_probes
+from ..functions.normalize import normalize_with_map, normalized
+from ..functions.spans import FINDING, FINDINGS, findings_array, none
+from .scanners import REGISTRY, Doc, Scanner, Text, default_scanners, full_scanners
 
 COLLECT_ALL, FAIL_FAST = "collect_all", "fail_fast"
 
@@ -69,77 +71,93 @@ class Policy:
         """df with findings, blocked and redacted_text if asked for; these replace columns of the same names."""
         columns = [c for c in df.columns if c not in ("findings", "blocked", "redacted_text")]
         text = F.col(text_col)
-        clean = any(getattr(s, "normalize_input", True) for s in self.scanners) and self.normalize
         df = df.select(*columns)
-        if clean:
-            df = df.withColumn("__hg_norm", normalized(text))
-            df = df.withColumn("__hg_clean", F.coalesce("__hg_norm.text", text))
+        if all(_built_in(s) for s in self.scanners):
+            findings = F.coalesce(self._pass(self.scanners)(text), none()) if self.scanners else none()
         else:
-            df = df.withColumn("__hg_clean", text)
-        df = df.withColumn("__hg_low", fold(F.col("__hg_clean")))
-        probes, columns_, found = self._compile(text)
-        tagged = compile_probes(F.col("__hg_clean"), probes)
-        df = df.withColumns({"__hg_p": F.coalesce(self._remapped(tagged, text) if clean else tagged, compile_probes(text, []))} | columns_)
-        if self.mode == COLLECT_ALL:
-            every = F.concat(*found) if found else none()
-        else:
-            every = none()
-            for f in reversed(found):
-                every = F.when(F.size(f) > 0, f).otherwise(every)
-        df = df.withColumn("findings", by_score(F.coalesce(every, none())))
+            df, found = self._each(df, text)
+            if self.mode == COLLECT_ALL:
+                findings = F.concat(*found)
+            else:
+                findings = none()
+                for f in reversed(found):
+                    findings = F.when(F.size(f) > 0, f).otherwise(findings)
+            findings = by_score(findings)
+        df = df.withColumn("findings", findings)
         df = df.withColumn("blocked", self.blocks(F.col("findings")))
         if redact:
             df = df.withColumn("redacted_text", redact_spans(text, F.col("findings"), self.placeholders))
         return df.select(*columns, "findings", "blocked", *(["redacted_text"] if redact else []))
 
-    def _compile(self, text: Column) -> tuple[list[Probe], dict[str, Column], list[Column]]:
-        """Probes of all pattern scanners, further columns to compute, and each scanner's findings by these.
-
-        pii and secrets are worked out once, however many scanners report them.
-        """
-        norm, raw = Text(F.col("__hg_clean"), F.col("__hg_low")), Text(text, fold(text))
-        probes: list[Probe] = []
-        columns: dict[str, Column] = {}
-        found: list[Column] = []
-        tags: dict[str, int] = {}
-
-        def tag_of(s: Probing) -> int:
-            kind = f"{type(s).__name__}{vars(s)}"
-            if kind not in tags or type(s) not in (Pii, Secrets):
-                tags[kind] = len(tags) + len(probes) + 1
-                probes.extend(replace(p, tag=tags[kind]) for p in s.probes(norm))
-            return tags[kind]
-
+    def judge(self, text: str) -> list[tuple]:
+        """Findings (scanner, score, start, end, matched text, message) of one text by score, of built-in scanners."""
+        norm, places = normalize_with_map(text) if self.normalize and not text.isascii() else (text, None)
+        raw = Doc(text)
+        clean = raw if norm == text else Doc(norm)
+        found: list[tuple] = []
+        for s in self.scanners:
+            doc = clean if getattr(s, "normalize_input", True) else raw
+            for score, start, end, matched, message in s.rows(doc):
+                if doc is not raw and 0 <= start < end <= len(places):
+                    start, end = places[start], places[end - 1] + 1
+                    matched = text[start:end]
+                found.append((s.name, score, start, end, matched, message))
+            if found and self.mode == FAIL_FAST:
+                break
+        found.sort(key=lambda f: -f[1])
+        return found
+
+    def redacted_if_blocked(self, text: str) -> str:
+        """One text, redacted if it is blocked, by built-in scanners."""
+        found = self.judge(text)
+        if not any(f[1] >= self.threshold_for(f[0]) for f in found):
+            return text
+        out, at = [], 0
+        for start, end, name in sorted(((f[2], f[3], f[0]) for f in found), key=lambda x: (x[0], -x[1])):
+            if start >= at or end > at:
+                out += [text[at:max(start, at)], self.placeholders.get(name, f"[REDACTED:{name.upper()}]")]
+                at = max(at, end)
+        return "".join(out) + text[at:]
+
+    def _pass(self, scanners: list[Scanner]):
+        """The Arrow function from texts to findings by score, of built-in scanners."""
+        judge = Policy(scanners, mode=self.mode, normalize=self.normalize).judge
+
+        @F.arrow_udf(FINDINGS)
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for b in batches:
+                yield findings_array([[] if t is None else judge(t) for t in b.to_pylist()])
+
+        return run.asNondeterministic()  # so that a filter on the findings does not scan again
+
+    def _each(self, df: DataFrame, text: Column) -> tuple[DataFrame, list[Column]]:
+        """df with a column of findings for each scanner: for policies with scanners that are columns."""
+        df = df.withColumn("__hg_norm", normalized(text) if self.normalize else F.lit(None).cast("struct<text:string,places:array<int>>"))
+        df = df.withColumn("__hg_clean", F.coalesce("__hg_norm.text", text))
+        names = []
         for k, s in enumerate(self.scanners):
-            takes_norm = getattr(s, "normalize_input", True)
-            by_python = isinstance(s, Secrets | Exfiltration) and _by_python(norm, s.extra, s.name) or getattr(s, "patterns", None) and user_probes(s.patterns, s.name) is None
-            if isinstance(s, Probing) and takes_norm and not by_python:
-                if type(s) is Exfiltration:
-                    subs = F.concat(untagged(F.col("__hg_p"), tag_of(s.secrets)), untagged(F.col("__hg_p"), tag_of(s.pii)))
-                    found.append(F.concat(untagged(F.col("__hg_p"), tag_of(s)), renamed(subs, s.name)))
-                else:
-                    found.append(untagged(F.col("__hg_p"), tag_of(s)))
+            if _built_in(s):
+                found = self._pass([s])(text)
+            elif getattr(s, "normalize_input", True):
+                found = self._remapped(s.scan(Text(F.col("__hg_clean"))), text)
             else:
-                c = s.scan(norm if takes_norm else raw)
-                if takes_norm and self.normalize:
-                    c = untagged(self._remapped(F.transform(c, lambda f: F.struct(F.lit(0).alias("tag"), f.alias("f"))), text))
-                columns[f"__hg_s{k}"] = F.coalesce(c, none())
-                found.append(F.col(f"__hg_s{k}"))
-        return probes, columns, found
+                found = s.scan(Text(text))
+            names.append(f"__hg_s{k}")
+            df = df.withColumn(names[-1], F.coalesce(found, none()))
+        return df, [F.col(n) for n in names]
 
     @staticmethod
-    def _remapped(tagged: Column, text: Column) -> Column:
+    def _remapped(findings: Column, text: Column) -> Column:
         """Offsets in the normalized text as offsets in the original, whose text the findings then show."""
         places = F.col("__hg_norm.places")
 
-        def move(x: Column) -> Column:
-            f = x["f"]
+        def move(f: Column) -> Column:
             start, end = F.get(places, f["start"]), F.get(places, f["end"] - 1) + 1
             moved = F.struct(f["scanner"].alias("scanner"), f["score"].alias("score"), start.alias("start"), end.alias("end"), F.substring(text, start + 1, end - start).alias("matched_text"), f["message"].alias("message"))
             ok = (f["start"] >= 0) & (f["start"] < f["end"]) & (f["end"] <= F.size(places))
-            return F.struct(x["tag"].alias("tag"), F.when(ok, moved).otherwise(f).alias("f"))
+            return F.when(ok, moved).otherwise(f)
 
-        return F.when(places.isNotNull(), F.transform(tagged, move)).otherwise(tagged)
+        return F.when(places.isNotNull(), F.transform(findings, move)).otherwise(findings)
 
     def blocks(self, findings: Column) -> Column:
         """Whether some finding reaches its scanner's threshold."""
@@ -163,6 +181,10 @@ class Policy:
         return {"text": text, "findings": [f.asDict() for f in row["findings"]], "blocked": row["blocked"], "redacted_text": row["redacted_text"] if redact else None}
 
 
+def _built_in(s: Scanner) -> bool:
+    return getattr(type(s), "scan", None) is Scanner.scan
+
+
 def by_score(findings: Column) -> Column:
     """Highest score first; ties keep their order."""
     placed = F.transform(findings, lambda f, i: F.struct((-f["score"]).alias("by"), i.alias("seq"), f.alias("f")))
@@ -203,9 +225,15 @@ def summary(findings: Column, n: int = 3) -> Column:
     return F.array_join(F.transform(F.slice(findings, 1, n), lambda f: f["message"]), "; ")
 
 
+def listing(findings: Column, n: int = 10) -> Column:
+    """The first n findings, one a line: scanner, score, span, message."""
+    line = lambda f: F.format_string("[%s] %.2f %d-%d %s", f["scanner"], f["score"], f["start"], f["end"], f["message"])
+    return F.array_join(F.transform(F.slice(findings, 1, n), line), "\n")
+
+
 def explode_findings(df: DataFrame) -> DataFrame:
     """One row per finding, with its fields and its place in the list."""
     return df.select("*", F.posexplode("findings").alias("seq", "finding")).select(*[c for c in df.columns if c != "findings"], "seq", "finding.*")
 
 
-__all__ = ["COLLECT_ALL", "FAIL_FAST", "FINDING", "FINDINGS", "Policy", "by_score", "explode_findings", "findings_for", "fired", "redact_spans", "summary"]
+__all__ = ["COLLECT_ALL", "FAIL_FAST", "FINDING", "FINDINGS", "Policy", "by_score", "explode_findings", "findings_for", "fired", "listing", "redact_spans", "summary"]

@@ -1,137 +1,121 @@
-"""Scanners: each turns a text column into a column of findings. All are stateless and run in batch and in streams.
+"""Scanners: each turns a text into findings. All are stateless and run in batch and in streams.
 
-`Text` carries what scanners share: the text, a folded copy for gates, and the raw text. Scanners marked `arrow` need
-Unicode or entropy semantics that built-in functions lack and run as one Arrow function over the rows that need it.
+A built-in scanner is a Python function of one text (`rows`), with compiled patterns behind cheap gates: literals that a
+text must hold, looked for with plain substring search. A policy runs all of them in one Arrow pass, so a text travels
+once, is normalized and lower-cased once, and most rules cost a substring search. Users' scanners may override `rows`,
+or `scan` to be a Spark column of their own.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions.normalize import normalize_with_map
-from ..functions.regex import escape, is_portable, to_java
-from ..functions.scalars import card_valid, estimate_tokens, jwt_valid, looks_random, registered_domain, shannon_entropy, ssn_valid, url_host, url_netloc
-from ..functions.spans import COUNTED, FINDINGS, Probe, compile_probes, finding, has_any, matches, none, untagged, whole_text
+from ..functions.scalars import card_valid_text, estimate_tokens_text, jwt_valid_text, looks_random_text, shannon_entropy, ssn_valid_text
+from ..functions.spans import FINDINGS, findings_array, none
 
+#: (score, start, end, matched text, message)
+Row = tuple[float, int, int, str, str]
+_FOLDED = str.maketrans("İıſK", "iisk")
 
-def fold(text: Column) -> Column:
+
+def fold(text: str) -> str:
     """Lower case, with the letters that case-insensitive matching equates with ASCII ones."""
-    return F.lower(F.translate(text, "İıſK", "iisk"))
+    return text.lower() if text.isascii() else text.translate(_FOLDED).lower()
+
+
+class Doc:
+    """A text with what scanners share about it, worked out when first asked for."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self._low: str | None = None
+        self._known: dict[object, list[Row]] = {}
+
+    @property
+    def low(self) -> str:
+        if self._low is None:
+            self._low = fold(self.text)
+        return self._low
+
+    def once(self, key: object, rows: Callable[[Doc], list[Row]]) -> list[Row]:
+        if key not in self._known:
+            self._known[key] = rows(self)
+        return self._known[key]
 
 
 @dataclass(frozen=True)
 class Text:
     text: Column
-    folded: Column
 
 
 def of(text: Column) -> Text:
-    return Text(text, fold(text))
+    return Text(text)
 
 
 class Scanner:
-    """Anything with a name and scan(Text) -> findings column; normalize_input=False asks for the raw text."""
+    """Anything with a name and rows(Doc), or scan(Text) -> findings column; normalize_input=False asks for the raw text."""
 
     name = ""
     normalize_input = True
 
-    def scan(self, t: Text) -> Column:
-        raise NotImplementedError
-
-
-class Probing(Scanner):
-    """A scanner that is a list of patterns; policies compile those of all such scanners together."""
-
-    def probes(self, t: Text) -> list[Probe]:
+    def rows(self, doc: Doc) -> list[Row]:
         raise NotImplementedError
 
     def scan(self, t: Text) -> Column:
-        return untagged(compile_probes(t.text, self.probes(t)))
-
-
-def rule_probe(t: Text, rule: R.Rule, scanner: str, keep=None, gate: Column | None = None) -> Probe:
-    gate = has_any(t.folded, rule.needs) if rule.needs and gate is None else gate
-    return Probe(scanner, rule.score, rule.message, to_java(rule.pattern, rule.ignore_case), gate, keep)
+        """The scanner called directly, on the text as it is."""
 
+        @F.arrow_udf(FINDINGS)
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for b in batches:
+                yield findings_array([[] if x is None else [(self.name, *r) for r in self.rows(Doc(x))] for x in b.to_pylist()])
 
-def _java(pattern: str) -> str:
-    flags, body = re.match(r"(?:\(\?([ims]+)\))?(.*)", pattern, re.S).groups()
-    rest = "".join(f for f in flags or "" if f != "i")
-    return (f"(?{rest})" if rest else "") + to_java(body, "i" in (flags or ""))
+        return F.coalesce(run.asNondeterministic()(t.text), none())  # so that a filter on the findings does not scan again
 
 
-def user_matches(t: Text, pattern: str) -> Column:
-    """Whether a user's pattern occurs."""
-    re.compile(pattern)
-    if is_portable(pattern):
-        return t.text.rlike(_java(pattern))
+@functools.lru_cache(4096)
+def _compiled(pattern: str, ignore_case: bool = False) -> re.Pattern:
+    return re.compile(pattern, re.IGNORECASE if ignore_case else 0)
 
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        rx = re.compile(pattern)
-        for s in texts:
-            yield s.map(lambda x: x is not None and rx.search(x) is not None)
 
-    return F.pandas_udf(run, "boolean")(t.text)
+def _found(rx: re.Pattern, text: str, score: float, message: str, keep: Callable[[str], bool] | None = None) -> list[Row]:
+    return [(score, *m.span(), m.group(), message) for m in rx.finditer(text) if keep is None or keep(m.group())]
 
 
-def user_findings(t: Text, pattern: str, scanner: str, score: float, message: str) -> Column:
-    """A pattern given by the user, in Python's dialect: native where it means the same, else run by Python."""
-    re.compile(pattern)
-    if is_portable(pattern):
-        return untagged(compile_probes(t.text, [Probe(scanner, score, message, _java(pattern))]))
-
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        rx = re.compile(pattern)
-        for s in texts:
-            yield s.map(lambda x: [] if x is None else [{"start": m.start(), "text": m.group()} for m in rx.finditer(x)])
-
-    return placed_findings(F.pandas_udf(run, "array<struct<start:int,text:string>>")(t.text), scanner, score, message)
-
-
-def placed_findings(placed: Column, scanner: str, score: float, message: str) -> Column:
-    return F.transform(placed, lambda m: finding(scanner, score, m["start"], m["text"], message)).cast(FINDINGS)
-
-
-def renamed(findings: Column, scanner: str) -> Column:
-    """The findings under another scanner's name."""
-    return F.transform(findings, lambda f: f.withField("scanner", F.lit(scanner))).cast(FINDINGS)
-
-
-def concat(parts: list[Column]) -> Column:
-    return F.concat(*parts) if parts else none()
+def _by_rule(rule: R.Rule, doc: Doc, keep: Callable[[str], bool] | None = None) -> list[Row]:
+    if rule.needs and not any(x in doc.low for x in rule.needs):
+        return []
+    if rule.probe and not _compiled(rule.probe).search(doc.low):
+        return []
+    return _found(_compiled(rule.pattern, rule.ignore_case), doc.text, rule.score, rule.message, keep)
 
 
-def user_probes(rows: list[tuple[str, float, str]], scanner: str) -> list[Probe] | None:
-    """Probes of users' patterns; None if one of them has to be run by Python."""
-    for p, _, _ in rows:
-        re.compile(p)
-    return [Probe(scanner, score, message, _java(p)) for p, score, message in rows] if all(is_portable(p) for p, _, _ in rows) else None
+def _user_rows(patterns: list[tuple[str, float, str]], doc: Doc, ignore_case: bool = False) -> list[Row]:
+    return [r for p, score, message in patterns for r in _found(_compiled(p, ignore_case), doc.text, score, message)]
 
 
-class _Rules(Probing):
+class _Rules(Scanner):
     default: tuple[R.Rule, ...] = ()
 
     def __init__(self, patterns=None):
         """patterns: rows (pattern, score, message) instead of the built-in rules; an empty list matches nothing."""
-        self.patterns = None if patterns is None else [("(?i)" + p, score, message) for p, score, message in patterns]
+        self.patterns = None if patterns is None else [tuple(p) for p in patterns]
+        for p, _, _ in self.patterns or []:
+            re.compile(p)
 
-    def probes(self, t: Text) -> list[Probe]:
-        if self.patterns is None:
-            return [rule_probe(t, r, self.name) for r in self.default]
-        return user_probes(self.patterns, self.name) or []
-
-    def scan(self, t: Text) -> Column:
-        if self.patterns and user_probes(self.patterns, self.name) is None:
-            return concat([user_findings(t, p, self.name, score, message) for p, score, message in self.patterns])
-        return super().scan(t)
+    def rows(self, doc: Doc) -> list[Row]:
+        if self.patterns is not None:
+            return _user_rows(self.patterns, doc, True)
+        return [r for rule in self.default for r in _by_rule(rule, doc)]
 
 
 class PromptInjection(_Rules):
@@ -142,45 +126,43 @@ class PromptLeak(_Rules):
     name, default = "prompt_leak", R.PROMPT_LEAK
 
 
-class CodeExecution(Probing):
+class CodeExecution(Scanner):
     name = "code_execution"
 
-    def probes(self, t: Text) -> list[Probe]:
-        return [rule_probe(t, r, self.name) for r in R.CODE_EXECUTION]
+    def rows(self, doc: Doc) -> list[Row]:
+        return [r for rule in R.CODE_EXECUTION for r in _by_rule(rule, doc)]
 
 
-class BanTopics(Probing):
+class BanTopics(Scanner):
     """A finding for every occurrence of every phrase of topics: {topic: [phrase]}."""
 
     name = "ban_topics"
 
     def __init__(self, topics: dict[str, list[str]] | None = None):
-        self.topics = {k: list(v) for k, v in (R.DEFAULT_TOPICS if topics is None else topics).items()}
+        topics = R.DEFAULT_TOPICS if topics is None else topics
+        self.phrases = [(p.lower() if p.isascii() else "", rf"\b{re.escape(p)}\b", f"Banned topic '{k}': matched {p!r}") for k, ps in topics.items() for p in ps]
 
-    def probes(self, t: Text) -> list[Probe]:
-        out = []
-        for topic, phrases in self.topics.items():
-            for p in phrases:
-                gate = F.contains(t.folded, F.lit(p.lower())) if p.isascii() else None
-                out.append(Probe(self.name, 0.7, f"Banned topic '{topic}': matched {p!r}", to_java(rf"\b{escape(p)}\b", True), gate))
-        return out
+    def rows(self, doc: Doc) -> list[Row]:
+        return [r for need, p, message in self.phrases if need in doc.low for r in _found(_compiled(p, True), doc.text, 0.7, message)]
 
 
-class Toxicity(Probing):
+class Toxicity(Scanner):
     """Listed words; the score of each grows with the number of hits in the text."""
 
     name = "toxicity"
 
     def __init__(self, words=None):
-        self.words = sorted(R.PROFANITY if words is None else words, key=lambda w: (-len(w), w))
+        words = sorted(R.PROFANITY if words is None else words, key=lambda w: (-len(w), w))
+        self.pattern = r"\b(?:" + "|".join(map(re.escape, words)) + r")\b" if words else None
+        roots = [w for w in words if not any(v != w and v in w for v in words)]
+        self.roots = [w.lower() for w in roots] if all(w.isascii() for w in words) else [""]
 
-    def probes(self, t: Text) -> list[Probe]:
-        if not self.words:
+    def rows(self, doc: Doc) -> list[Row]:
+        if self.pattern is None or not any(w in doc.low for w in self.roots):
             return []
-        java = to_java(r"\b(?:" + "|".join(map(escape, self.words)) + r")\b", True)
-        roots = [w for w in self.words if not any(v != w and v in w for v in self.words)]
-        gate = has_any(t.folded, tuple(w.lower() for w in roots)) & t.text.rlike(java) if all(w.isascii() for w in roots) else None
-        return [Probe(self.name, COUNTED, "Profanity (", java, gate)]
+        hits = list(_compiled(self.pattern, True).finditer(doc.text))
+        score = round(min(0.95, 0.4 + 0.15 * len(hits)), 2)
+        return [(score, *m.span(), m.group(), f"Profanity ({len(hits)} hit(s) in text)") for m in hits]
 
 
 class Regex(Scanner):
@@ -192,51 +174,46 @@ class Regex(Scanner):
         self.forbidden, self.required = list(forbidden or []), list(required or [])
         if not self.forbidden and not self.required:
             raise ValueError("regex scanner needs at least one forbidden or required pattern")
+        for p in [*self.forbidden, *self.required]:
+            re.compile(p)
 
-    def scan(self, t: Text) -> Column:
-        out = [user_findings(t, p, self.name, 0.8, f"Forbidden pattern matched: {p!r}") for p in self.forbidden]
-        for p in self.required:
-            out.append(F.when(~user_matches(t, p), whole_text(self.name, 0.8, t.text, f"Required pattern not found: {p!r}")).otherwise(none()))
-        return concat(out)
+    def rows(self, doc: Doc) -> list[Row]:
+        out = _user_rows([(p, 0.8, f"Forbidden pattern matched: {p!r}") for p in self.forbidden], doc)
+        missing = [p for p in self.required if not _compiled(p).search(doc.text)]
+        return out + [(0.8, 0, len(doc.text), doc.text[:60], f"Required pattern not found: {p!r}") for p in missing]
 
 
-class Pii(Probing):
+class Pii(Scanner):
     """Email, phone, US Social Security and payment card numbers, in this order."""
 
     name = "pii"
 
-    def probes(self, t: Text) -> list[Probe]:
-        digits = t.text.rlike(r"\p{Nd}{3}")
-        return [
-            rule_probe(t, R.EMAIL, self.name),
-            rule_probe(t, R.PHONE, self.name, gate=digits),
-            rule_probe(t, R.SSN, self.name, ssn_valid, digits & F.contains(t.text, F.lit("-"))),
-            rule_probe(t, R.CARD, self.name, card_valid, digits),
-        ]
+    def rows(self, doc: Doc) -> list[Row]:
+        return doc.once("pii", self._rows)
+
+    @staticmethod
+    def _rows(doc: Doc) -> list[Row]:
+        return _by_rule(R.EMAIL, doc) + _by_rule(R.PHONE, doc) + _by_rule(R.SSN, doc, ssn_valid_text) + _by_rule(R.CARD, doc, card_valid_text)
 
 
 class UrlAllowlist(Scanner):
-    """URLs whose host is neither an allowed domain nor below one; without domains nothing is found."""
+    """URLs whose host is neither an allowed domain nor below one; without domains nothing is found. A URL whose host has
+    unbalanced brackets is skipped."""
 
     name = "url_allowlist"
 
     def __init__(self, allowed_domains=None):
-        self.allowed = [d.lower().lstrip(".") for d in allowed_domains or []]
-
-    def scan(self, t: Text) -> Column:
-        if not self.allowed:
-            return none()
-        allowed = F.array(*map(F.lit, self.allowed))
-
-        def banned(url: Column) -> Column:
-            host = url_host(url)
-            fine = F.exists(allowed, lambda d: (host == d) | F.endswith(host, F.concat(F.lit("."), d)))
-            return (url_netloc(url) != "") & ~fine
+        self.allowed = {d.lower().lstrip(".") for d in allowed_domains or []}
 
-        placed = F.filter(matches(t.text, to_java(R.URL.pattern, True)), lambda m: banned(m["text"]))
-        say = lambda m: F.concat(F.lit("URL points outside the allowlist ("), registered_domain(url_host(m["text"])), F.lit(")"))
-        out = F.transform(placed, lambda m: finding(self.name, R.URL.score, m["start"], m["text"], say(m))).cast(FINDINGS)
-        return F.when(has_any(t.folded, R.URL.needs), out).otherwise(none())
+    def rows(self, doc: Doc) -> list[Row]:
+        out = []
+        for score, s, e, url, _ in _by_rule(R.URL, doc) if self.allowed else []:
+            netloc = re.split("[/?#]", url.partition("://")[2], maxsplit=1)[0]
+            host = netloc.rpartition("@")[2].partition(":")[0].lower()
+            labels = host.split(".")
+            if netloc and ("[" in netloc) == ("]" in netloc) and not any(".".join(labels[k:]) in self.allowed for k in range(len(labels))):
+                out.append((score, s, e, url, f"URL points outside the allowlist ({'.'.join(labels[-2:])})"))
+        return out
 
 
 class TokenLimit(Scanner):
@@ -247,53 +224,42 @@ class TokenLimit(Scanner):
             raise ValueError("max_tokens must be positive")
         self.max_tokens = max_tokens
 
-    def scan(self, t: Text) -> Column:
-        n = estimate_tokens(t.text)
-        message = F.concat(F.lit("Estimated "), n.cast("string"), F.lit(f" tokens exceeds limit of {self.max_tokens}"))
-        return F.when(n > self.max_tokens, whole_text(self.name, 0.9, t.text, message)).otherwise(none())
+    def rows(self, doc: Doc) -> list[Row]:
+        n = estimate_tokens_text(doc.text)
+        return [(0.9, 0, len(doc.text), doc.text[:60], f"Estimated {n} tokens exceeds limit of {self.max_tokens}")] if n > self.max_tokens else []
 
 
-class Secrets(Probing):
+class Secrets(Scanner):
     """Credentials by their public shapes, labelled assignments, and (entropy_scan) unlabelled random-looking tokens."""
 
     name = "secrets"
 
     def __init__(self, extra_patterns=None, entropy_scan: bool = True):
-        """extra_patterns: rows (label, pattern, score), in the dialect that both Python and Spark read alike."""
-        self.extra, self.entropy_scan = list(extra_patterns or []), entropy_scan
-
-    def probes(self, t: Text) -> list[Probe]:
-        out = [rule_probe(t, r, self.name) for r in R.SECRETS]
-        out += [rule_probe(t, R.JWT, self.name, jwt_valid), rule_probe(t, R.ASSIGNMENT, self.name)]
-        out += user_probes([(p, score, label) for label, p, score in self.extra], self.name) or []
-        return out + ([rule_probe(t, R.RANDOM_TOKEN, self.name, looks_random)] if self.entropy_scan else [])
-
-    def scan(self, t: Text) -> Column:
-        return concat([super().scan(t), *_by_python(t, self.extra, self.name)])
+        """extra_patterns: rows (label, pattern, score)."""
+        self.extra, self.entropy_scan = [(p, score, label) for label, p, score in extra_patterns or []], entropy_scan
+        for p, _, _ in self.extra:
+            re.compile(p)
 
+    def rows(self, doc: Doc) -> list[Row]:
+        return doc.once(("secrets", tuple(self.extra), self.entropy_scan), self._rows)
 
-def _by_python(t: Text, extra: list, scanner: str) -> list[Column]:
-    """Findings of extra patterns, where one of them has to be run by Python."""
-    if user_probes([(p, score, label) for label, p, score in extra], scanner) is not None:
-        return []
-    return [user_findings(t, p, scanner, score, label) for label, p, score in extra]
+    def _rows(self, doc: Doc) -> list[Row]:
+        out = [r for rule in R.SECRETS for r in _by_rule(rule, doc)]
+        out += _by_rule(R.JWT, doc, jwt_valid_text) + _by_rule(R.ASSIGNMENT, doc) + _user_rows(self.extra, doc)
+        return out + (_by_rule(R.RANDOM_TOKEN, doc, looks_random_text) if self.entropy_scan else [])
 
 
-class Exfiltration(Probing):
+class Exfiltration(Scanner):
     """Disclosure in output: its own rules, and the findings of secrets and pii under its name."""
 
     name = "exfiltration"
 
     def __init__(self, extra_patterns=None, entropy_scan: bool = True):
-        self.extra, self.secrets, self.pii = list(extra_patterns or []), Secrets(extra_patterns, entropy_scan), Pii()
-
-    def probes(self, t: Text) -> list[Probe]:
-        """Its own rules only."""
-        return [rule_probe(t, r, self.name) for r in R.EXFILTRATION] + (user_probes([(p, score, label) for label, p, score in self.extra], self.name) or [])
+        self.secrets, self.pii = Secrets(extra_patterns, entropy_scan), Pii()
 
-    def scan(self, t: Text) -> Column:
-        subs = concat([self.secrets.scan(t), self.pii.scan(t)])
-        return concat([super().scan(t), *_by_python(t, self.extra, self.name), renamed(subs, self.name)])
+    def rows(self, doc: Doc) -> list[Row]:
+        own = [r for rule in R.EXFILTRATION for r in _by_rule(rule, doc)]
+        return own + _user_rows(self.secrets.extra, doc) + self.secrets.rows(doc) + self.pii.rows(doc)
 
 
 _VOWELS = str.maketrans("", "", "aeiouAEIOU")
@@ -301,46 +267,27 @@ _GIBBERISH_WORD = re.compile(r"[A-Za-z]{4,}")
 
 
 class Gibberish(Scanner):
-    """Consonant-heavy words or abnormal character entropy (Arrow)."""
+    """Consonant-heavy words or abnormal character entropy."""
 
     name = "gibberish"
 
     def __init__(self, *, min_words: int = 4, monster_token_len: int = 16, monster_consonant_ratio: float = 0.80, mean_consonant_ratio: float = 0.80):
         self.args = (min_words, monster_token_len, monster_consonant_ratio, mean_consonant_ratio)
 
-    def rows(self, text: str) -> list[tuple]:
+    def rows(self, doc: Doc) -> list[Row]:
         min_words, size, monster, mean_limit = self.args
-        words = [(m.start(), w := m.group(), len(w.translate(_VOWELS)) / len(w)) for m in _GIBBERISH_WORD.finditer(text)]
-        found = [(0.85, s, w, "Gibberish-like token (very long, consonant-heavy)") for s, w, r in words if len(w) >= size and r >= monster]
+        words = [(m, w := m.group(), len(w.translate(_VOWELS)) / len(w)) for m in _GIBBERISH_WORD.finditer(doc.text)]
+        found = [(0.85, *m.span(), w, "Gibberish-like token (very long, consonant-heavy)") for m, w, r in words if len(w) >= size and r >= monster]
         if found or len(words) < min_words:
             return found
         mean = sum(r for _, _, r in words) / max(len(words), 1)
         if words and mean >= mean_limit:
             score = round(min(0.9, 0.5 + (mean - 0.6) * 2), 2)
-            return [(score, s, w, "Gibberish-like token (text-wide consonant anomaly)") for s, w, r in words if r >= 0.8]
-        if not 2.8 <= shannon_entropy("".join(text.split())) <= 5.2:
-            return [(0.45, -1, text[:60], "Abnormal character entropy for natural text")]
+            return [(score, *m.span(), w, "Gibberish-like token (text-wide consonant anomaly)") for m, w, r in words if r >= 0.8]
+        if not 2.8 <= shannon_entropy("".join(doc.text.split())) <= 5.2:
+            return [(0.45, 0, len(doc.text), doc.text[:60], "Abnormal character entropy for natural text")]
         return []
 
-    def scan(self, t: Text) -> Column:
-        return _by_rows(self.name, self.rows, t.text)
-
-
-def _by_rows(name: str, rows, text: Column) -> Column:
-    """Findings by a Python function of one text, in Arrow batches. A start of -1 stands for the whole text."""
-
-    @F.pandas_udf("array<struct<score:double,start:int,text:string,message:string>>")
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in texts:
-            yield s.map(lambda x: [] if x is None else [dict(zip(("score", "start", "text", "message"), r, strict=True)) for r in rows(x)])
-
-    def as_finding(m: Column) -> Column:
-        f = finding(name, m["score"], m["start"], m["text"], m["message"])
-        whole = F.struct(F.lit(name).alias("scanner"), m["score"].alias("score"), F.lit(0).alias("start"), F.length(text).alias("end"), m["text"].alias("matched_text"), m["message"].alias("message"))
-        return F.when(m["start"] < 0, whole).otherwise(f)
-
-    return F.transform(run(text), as_finding).cast(FINDINGS)
-
 
 _ZERO_WIDTH = "\u200b\u200c\u200d\ufeff"
 _BIDI = "\u202a\u202b\u202c\u202d\u202e\u2066\u2067\u2068\u2069\u200e\u200f"
@@ -353,21 +300,24 @@ _ODD = re.compile(r"[^\x20-\x7e\t\n\r]")
 
 
 class Obfuscation(Scanner):
-    """Invisible, direction-changing, control and fullwidth characters, escapes, mixed scripts and encoded blobs (Arrow)."""
+    """Invisible, direction-changing, control and fullwidth characters, escapes, mixed scripts and encoded blobs."""
 
     name, normalize_input = "obfuscation", False
 
     def __init__(self, blob_min_length: int = 40, min_entropy: float = 4.5, fullwidth_min_length: int = 4):
         self.blob_min, self.entropy, self.full_min = blob_min_length, min_entropy, fullwidth_min_length
 
-    def rows(self, text: str) -> list[tuple]:
+    def rows(self, doc: Doc) -> list[Row]:
+        return [(score, s, s + len(m), m, message) for score, s, m, message in self._placed(doc.text)]
+
+    def _placed(self, text: str) -> list[tuple]:
         out: list[tuple] = []
-        blob = re.compile(rf"[A-Za-z0-9+/=]{{{self.blob_min},}}")
+        blob = _compiled(rf"[A-Za-z0-9+/=]{{{self.blob_min},}}")
         odd = [(m.start(), m.group()) for m in _ODD.finditer(text)] if not text.isascii() or _ODD.search(text) else []
         out += [(0.9, i, c, "Zero-width/format character (possible hidden text)") for i, c in odd if c in _ZERO_WIDTH]
         out += [(0.9, i, c, "Unicode direction override") for i, c in odd if c in _BIDI]
         out += [(0.7, i, c, "Stray control character") for i, c in odd if c not in _ZERO_WIDTH and c not in _BIDI and unicodedata.category(c) in ("Cc", "Cf")]
-        escapes = [m.span() for m in _ESCAPE.finditer(text)]
+        escapes = [m.span() for m in _ESCAPE.finditer(text)] if "\\" in text else []
         out += [(0.5, s, text[s:e], "Literal unicode escape (possible obfuscated payload)") for s, e in escapes]
         out += [(0.7, m.start(), m.group(), "Fullwidth character run (possible lookalike evasion)") for m in re.finditer(rf"[！-～]{{{self.full_min},}}", text)] if odd else []
         if odd and _OTHER_SCRIPT.search(text):
@@ -417,10 +367,6 @@ class Obfuscation(Scanner):
                     out.append((score, a, text[a:b], message))
         return out
 
-    def scan(self, t: Text) -> Column:
-        gate = rf"[^\x20-\x7E\t\n\r]|\\u[0-9a-fA-F]{{4}}|\\x[0-9a-fA-F]{{2}}|[A-Za-z0-9+/=]{{{self.blob_min},}}"
-        return F.coalesce(_by_rows(self.name, self.rows, F.when(t.text.rlike(gate), t.text)), none())
-
 
 REGISTRY = {
     c.name: c

@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
-from ..functions.normalize import CONFUSABLES, STRIPPED, translate_confusables
+from ..functions.normalize import CONFUSABLES, STRIPPED, normalized, translate_confusables
 from ..functions.scalars import estimate_tokens, shannon_entropy
 from ..operators import guards, transforms
 from ..operators import scanners as S
-from ..operators.evaluate import confusion, policy_accuracy, scan_cases
+from ..operators.evaluate import adversarial, adversarial_overall, confusion, policy_accuracy, scan_cases
 from ..operators.policy import FAIL_FAST, Policy, explode_findings, fired, summary
-from ..streaming import block_rate, guard_files
+from ..streaming import block_rate, guard_files, shared_dir
 from .fixtures import CASES, TOXIC_WORDS
 
 
@@ -140,6 +140,12 @@ def random_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def normalized_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as scanners see them, by the normalizer that keeps the places of characters."""
+    return texts(spark, sf_dir).select("doc_id", F.coalesce(normalized(F.col("text"))["text"], F.col("text")).alias("text"))
+
+
+def removed_lookalikes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removal of invisible characters and lookalikes alone, native."""
     return texts(spark, sf_dir).select("doc_id", translate_confusables(F.col("text")).alias("text"))
 
 
@@ -192,6 +198,22 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return guards.guard_payloads(turns.groupBy(F.col("conv_id").alias("id")).agg(body), Policy([S.Pii()]), "payload").select("id", "blocked", F.size("scanners").cast("long").alias("n_scanners"))
 
 
+def redacted_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assistant turns as response payloads, their e-mail addresses redacted in place."""
+    turns = table(spark, sf_dir, "conversations").where("role = 'assistant'")
+    body = F.to_json(F.struct(F.array(F.struct(F.struct(F.col("text").alias("content")).alias("message"))).alias("choices"))).alias("payload")
+    policy = Policy([S.Regex(forbidden=[EMAIL_RX])], placeholders={"regex": "[EMAIL]"}, normalize=False)
+    out = guards.redact_payloads(turns.select("conv_id", "turn", body), policy, "payload")
+    return out.select("conv_id", "turn", F.get_json_object("payload", "$.choices[0].message.content").alias("text"))
+
+
+def adversarial_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall of each scanner on the literal cases in every disguise, and overall."""
+    rows = adversarial(spark.createDataFrame(list(CASES), "scanner string, text string, expected boolean"))
+    overall = adversarial_overall(rows).withColumn("scanner", F.lit("overall"))
+    return rows.unionByName(overall)
+
+
 def event_block_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("ts", "event_type")
     judged = Policy([S.Regex(forbidden=[r"\bpurchase\b"])], normalize=False).apply(events, "event_type")
@@ -235,10 +257,9 @@ def case_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents read as a stream of files: blocked ones."""
-    import tempfile
     import uuid
 
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()).rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    base = shared_dir(spark) + f"/stream-{uuid.uuid4().hex}"
     schema = table(spark, sf_dir, "documents").schema
     q = guard_files(spark, f"{sf_dir}/documents.parquet*", schema.simpleString()[7:-1].replace(":", " "), Policy([S.Pii()]), base + "/out", base + "/state")
     q.awaitTermination()
@@ -265,6 +286,9 @@ QUERIES = {
     "url_allowlist": url_allowlist,
     "random_tokens": random_tokens,
     "normalized_text": normalized_text,
+    "removed_lookalikes": removed_lookalikes,
+    "adversarial_recall": adversarial_recall,
+    "redacted_payloads": redacted_payloads,
     "fullwidth": fullwidth,
     "homoglyphs": homoglyphs,
     "evasion_round_trip": evasion_round_trip,
@@ -285,6 +309,7 @@ QUERIES = {
 
 _WORDS = lambda ws: r"(?i)\b(?:" + "|".join(sorted(ws, key=lambda w: (-len(w), w))) + r")\b"
 _LOOK = "".join(CONFUSABLES) + STRIPPED
+_FIRST = {latin: look for look, latin in reversed(CONFUSABLES.items())}
 _TOX = f"regexp_matches(text, {_sql(_WORDS(TOXIC_WORDS))})"
 _ENTROPY = """
 SELECT {id}, -sum(c / n * log2(c / n)) AS e FROM
@@ -308,14 +333,16 @@ ORACLES = {
     "random_tokens": "WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9_\\-+/=]{20,}')) AS tok FROM documents), r AS (SELECT row_number() OVER () AS id, doc_id, tok FROM t), c AS (SELECT id, unnest(string_split(tok, '')) AS ch FROM r), e AS ("
     + _ENTROPY.format(id="id", src="c")
     + ") SELECT doc_id, count(*) AS n FROM r JOIN e ON r.id = e.id WHERE CASE WHEN regexp_full_match(tok, '[0-9a-fA-F]+') THEN length(tok) >= 32 AND e.e >= 3.7 ELSE e.e >= 4.2 END GROUP BY doc_id",
+    "removed_lookalikes": f"SELECT doc_id, translate(text, {_sql(_LOOK)}, {_sql(''.join(CONFUSABLES.values()))}) AS text FROM {TEXTS}",
     "normalized_text": f"SELECT doc_id, translate(text, {_sql(_LOOK)}, {_sql(''.join(CONFUSABLES.values()))}) AS text FROM {TEXTS}",
     "fullwidth": f"SELECT doc_id, translate(text, {_sql(transforms.ASCII + ' ')}, {_sql(transforms.FULLWIDTH + chr(0x3000))}) AS text FROM {TEXTS}",
-    "homoglyphs": f"SELECT doc_id, translate(text, {_sql(''.join(transforms.HOMOGLYPHS))}, {_sql(''.join(transforms.HOMOGLYPHS.values()))}) AS text FROM {TEXTS}",
+    "homoglyphs": f"SELECT doc_id, translate(text, {_sql(''.join(_FIRST))}, {_sql(''.join(_FIRST.values()))}) AS text FROM {TEXTS}",
     "verdict_by_lang": f"SELECT lang, source, count(*) AS texts, count(*) FILTER (WHERE {N_PII} > 0) AS blocked FROM documents GROUP BY ROLLUP (lang, source)",
     "toxic_confusion": f"WITH x AS (SELECT {_TOX} AS f, toxic = 1 AS e FROM documents JOIN labels USING (doc_id)), c AS (SELECT count(*) AS cases, count(*) FILTER (WHERE f AND e) AS tp, count(*) FILTER (WHERE f AND NOT e) AS fp, count(*) FILTER (WHERE NOT f AND NOT e) AS tn, count(*) FILTER (WHERE NOT f AND e) AS fn FROM x) SELECT *, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp)::DOUBLE ELSE 0 END, 6) AS precision, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn)::DOUBLE ELSE 0 END, 6) AS recall FROM c",
     "conversation_rollup": f"SELECT conv_id, count(*) AS turns, count(*) FILTER (WHERE {N_PII} > 0) AS blocked_turns, coalesce(bool_or({N_PII} > 0), false) AS blocked FROM conversations GROUP BY conv_id",
     "conversation_joined": f"WITH j AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn, text) AS text FROM conversations GROUP BY conv_id) SELECT conv_id, {N_PII} > 0 AS blocked, length(text)::BIGINT AS chars FROM j",
     "payloads": f"SELECT conv_id AS id, bool_or({N_PII} > 0) AS blocked, max(({N_PII} > 0)::INT)::BIGINT AS n_scanners FROM conversations GROUP BY conv_id",
+    "redacted_payloads": f"SELECT conv_id, turn, regexp_replace(text, {_sql(EMAIL_RX)}, '[EMAIL]', 'g') AS text FROM conversations WHERE role = 'assistant'",
     "event_block_rate": "SELECT date_trunc('day', ts)::TIMESTAMP AS start, count(*) AS texts, count(*) FILTER (WHERE regexp_matches(event_type, '\\bpurchase\\b')) AS blocked FROM events GROUP BY 1",
     "policy_fail_fast": f"SELECT doc_id, CASE WHEN length(text) // 4 > 2000 THEN 'token_limit' ELSE 'pii' END AS scanner FROM {TEXTS} WHERE length(text) // 4 > 2000 OR {N_PII} > 0",
     "policy_config": f"SELECT doc_id FROM {TEXTS} WHERE {N_EMAIL} + len({CARDS}) + len({SSNS}) > 0",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -25,3 +27,13 @@ def block_rate(judged: DataFrame, time_col: str, width: str = "1 hour", delay: s
     """Texts and blocked texts per window of event time; late rows count until the watermark passes."""
     w = judged.withWatermark(time_col, delay) if judged.isStreaming else judged
     return w.groupBy(F.window(time_col, width).alias("w")).agg(F.count("*").alias("texts"), F.count_if("blocked").alias("blocked")).select(F.col("w.start").alias("start"), "texts", "blocked")
+
+
+def shared_dir(spark) -> str:
+    """spark.checkpoint.dir; where it is unset, a folder of our own in local mode, and an error on a cluster."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="hedgerow-")
+    return base.rstrip("/")

@@ -6,7 +6,8 @@ log-probability matrix (languages x buckets, float32: 256 kB a language) is broa
 a gather and a segment sum per language, over whole texts.
 
 Defined results: null texts and texts without a letter give `und` with score 0; very long texts are scored whole;
-repeated rows give equal rows; without any labelled row every text is `und`; ties go to the smallest language name.
+repeated rows give equal rows; without any labelled row every text is `und`; ties go to the smallest language name; an
+empty table gives no rows; extra columns pass through, but `detect` replaces those named lang_pred and score.
 """
 
 from __future__ import annotations
@@ -140,22 +141,26 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     return Model(langs, log_prob, np.log(share / share.sum()))
 
 
-def detect(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and score; both replace columns of these names."""
-    src = docs.drop("lang_pred", "score")
+def _predicted(docs: DataFrame, model: Model, text_col: str) -> DataFrame:
+    """docs with __hg_lang and __hg_score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    keep = [c for c in src.columns if c != text_col] + [text_col]
-    src = src.select(*keep)
-    schema = T.StructType([*src.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    src = docs.select(*[c for c in docs.columns if c != text_col], text_col)
+    schema = T.StructType([*src.schema.fields, T.StructField("__hg_lang", T.StringType()), T.StructField("__hg_score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             names, scores = shared.value.predict(b.column(b.num_columns - 1))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names, "__hg_lang", "__hg_score"])
 
     return src.mapInArrow(run, schema)
 
 
+def detect(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """docs with lang_pred and score; both replace columns of these names."""
+    src = docs.drop("lang_pred", "score")
+    return _predicted(src, model, text_col).select(*src.columns, F.col("__hg_lang").alias("lang_pred"), F.col("__hg_score").alias("score"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", (fold(F.col("doc_id")) == 2).alias("held_out"))
     model = train(docs.where(~F.col("held_out")))
@@ -170,5 +175,5 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a determined language; the learned rows are those of `docs` outside the held-out fold."""
     columns = docs.columns
     model = train(docs.where(fold(F.col("doc_id")) != 2))
-    found = detect(docs, model).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= MIN_SCORE))
+    found = _predicted(docs, model, "text").where((F.col("__hg_lang") != UNDETERMINED) & (F.col("__hg_score") >= MIN_SCORE))
     return found.select(*columns)

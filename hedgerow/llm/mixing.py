@@ -147,13 +147,14 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix itself: a row for each copy taken, with the columns of documents and copy (1, 2)."""
+    """The mix itself: a row for each copy taken, with the columns of documents and copy (1, 2), which replaces a column
+    of that name."""
     tagged = docs.withColumn("__hg_tid", F.xxhash64("text"))
     taken = mix(tagged.select("text", "source", F.struct("doc_id", "__hg_tid").alias("doc_id")))
     # Rows equal in id and text are drawn alike: the first of them stands for all.
     taken = taken.where("copies > 0").groupBy(F.col("doc_id.doc_id").alias("__hg_id"), F.col("doc_id.__hg_tid").alias("__hg_t")).agg(F.max("copies").alias("__hg_copies"))
     got = tagged.join(taken, F.col("doc_id").eqNullSafe(F.col("__hg_id")) & F.col("__hg_tid").eqNullSafe(F.col("__hg_t")))
-    return got.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__hg_copies").cast("int")))).select(*docs.columns, "copy")
+    return got.drop("copy").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__hg_copies").cast("int")))).select(*[c for c in docs.columns if c != "copy"], "copy")
 
 
 ORACLE = """

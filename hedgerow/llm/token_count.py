@@ -25,8 +25,9 @@ from pyspark.sql import types as T
 from .common import read, runs_of
 
 BATCH_BYTES = 8 << 20
-#: Piece lengths remembered by one worker; at the bound the memory is cleared.
-MEMO = 400_000
+#: Pieces whose counts one worker remembers, and the bytes that such a piece may have: about 50 MB at most. At the bound
+#: the memory is cleared; longer pieces are encoded each time.
+MEMO, SHORT = 400_000, 64
 
 
 def vocabulary_path(name: str) -> str:
@@ -68,11 +69,18 @@ class Counter:
         lists = pc.ascii_split_whitespace(texts)
         pieces = lists.flatten().dictionary_encode()
         kinds = pieces.dictionary.to_pylist()
-        if len(self.memo) + len(kinds) > MEMO:
-            self.memo.clear()
-        if new := [k for k in kinds if k not in self.memo]:
-            self.memo.update(zip(new, self.encode(new), strict=True))
-        each = np.fromiter((self.memo[k] for k in kinds), dtype=np.int64, count=len(kinds))
+        each = np.zeros(len(kinds), np.int64)
+        short = np.array(pc.binary_length(pieces.dictionary).to_numpy(zero_copy_only=False)) <= SHORT
+        for x in range(0, len(kinds), MEMO):
+            few = [(i, kinds[i]) for i in range(x, min(x + MEMO, len(kinds))) if short[i]]
+            if len(self.memo) + len(few) > MEMO:
+                self.memo.clear()
+            if new := [k for _, k in few if k not in self.memo]:
+                self.memo.update(zip(new, self.encode(new), strict=True))
+            for i, k in few:
+                each[i] = self.memo[k]
+        for i in np.flatnonzero(~short):
+            each[i] = self.encode([kinds[i]])[0]
         at = np.concatenate([[0], np.cumsum(each[pieces.indices.to_numpy(zero_copy_only=False)])])
         ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         return at[ends[1:]] - at[ends[:-1]]
@@ -104,17 +112,17 @@ def count_tokens(
 ) -> DataFrame:
     """df's other columns with n_bytes, n_tokens and over_limit; the text itself is not returned from Python."""
     keep = [c for c in df.columns if c not in (text_col, "n_bytes", "n_tokens", "over_limit")]
-    src = df.select(*keep, F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_bytes"), F.col(text_col).alias("_text"))
-    schema = T.StructType([*src.drop("_text").schema.fields, T.StructField("n_tokens", T.LongType())])
+    src = df.select(*keep, F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_bytes"), F.col(text_col).alias("__hg_text"))
+    schema = T.StructType([*src.drop("__hg_text").schema.fields, T.StructField("n_tokens", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counters.get(tokenizer) or _counters.setdefault(tokenizer, Counter(tokenizer))
         for b in batches:
-            col = b.column(b.schema.get_field_index("_text"))
+            col = b.column(b.schema.get_field_index("__hg_text"))
             sizes = b.column(b.schema.get_field_index("n_bytes")).to_pylist()
             counts = [counter.count(col.slice(i, j - i)) for i, j in runs_of(sizes, batch_bytes)]
             n = np.concatenate(counts) if counts else np.zeros(0, np.int64)
-            rest = b.drop_columns(["_text"])
+            rest = b.drop_columns(["__hg_text"])
             yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(n, pa.int64())], [*rest.schema.names, "n_tokens"])
 
     return src.mapInArrow(run, schema).withColumn("over_limit", F.col("n_tokens") > limit)

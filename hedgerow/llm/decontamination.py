@@ -8,12 +8,15 @@ stops at the first null, so most places cost one look-up. Only candidates are ex
 A hit is verified on its diagonal: the item is laid over the document at that offset and must agree in at least half of
 its words (and no fewer than `min_matches`; the whole item where it is shorter).
 
-Test hashes are broadcast in blocks of at most `SEEDS_PER_JOIN` rows, so that any number of items is handled exactly
-and the broadcast has a proven bound; documents are never shuffled for the search.
+Test hashes carry no words (some 40 bytes a row) and are broadcast up to `SEEDS_PER_JOIN` rows; more are joined by hash
+with the candidates, which are written once, so the documents are read and hashed once for any number of items. A
+candidate carries only the stretch of its document that an item could cover, and an item's words are joined once it is
+hit (broadcast up to `ITEM_BYTES`). Documents are never shuffled for the search.
 
 Items shorter than the window are matched by all their words. Defined results: null and empty texts (of either side)
 match nothing; very long texts are searched whole; a document row is reported once per item with its best diagonal;
-repeated rows of a doc_id are pooled; empty tables give an empty result; other columns are not looked at.
+repeated rows of a doc_id are pooled, as are all rows without one; items that share an item_id are laid over each other's
+hits too; empty tables give an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -23,13 +26,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, SPACE_RX, let, read
+from .common import SPACE, SPACE_RX, cut, let, read
 
 SPAN = 12
 #: Kept places of a window of SPAN words.
 MASKS = ((0, 1, 2, 4, 7, 8, 10, 11), (0, 1, 3, 5, 6, 8, 9, 11), (0, 2, 3, 5, 7, 9, 10, 11))
 MIN_MATCHES = 8
 SEEDS_PER_JOIN = 200_000
+ITEM_BYTES = 16 << 20
 #: log2 of the bits of the vocabulary set, at most.
 MOST_BITS = 22
 
@@ -46,18 +50,22 @@ def _hash(h: Column, places: list[Column]) -> Column:
     return F.xxhash64(*[F.get(h, p) for p in places])
 
 
-def seeds(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Test hashes: mask (-1: a short item as a whole), hash, item_id, at (offset in the item), item (word hashes)."""
-    w = items.select(F.col(id_col).alias("item_id"), F.transform(plain_words(F.col(text_col)), lambda x: F.xxhash64(x)).alias("item"))
+def _items(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(item_id, item): word hashes of each test item with words."""
+    return items.select(F.col(id_col).alias("item_id"), F.transform(plain_words(F.col(text_col)), lambda x: F.xxhash64(x)).alias("item")).where(F.size("item") > 0)
+
+
+def seeds(words: DataFrame) -> DataFrame:
+    """Test hashes: mask (-1: a short item as a whole), hash, item_id, item_at (offset in the item)."""
     n = F.size("item")
-    long_ones = [
-        w.where(n >= SPAN)
-        .withColumn("at", F.explode(F.sequence(F.lit(0), n - SPAN)))
-        .select(F.lit(k).alias("mask"), _hash(F.col("item"), [F.col("at") + p for p in mask]).alias("hash"), "item_id", "at", "item")
-        for k, mask in enumerate(MASKS)
-    ]
-    short = w.where((n > 0) & (n < SPAN)).select((-n).alias("mask"), F.xxhash64("item").alias("hash"), "item_id", F.lit(0).alias("at"), "item")
-    return reduce(DataFrame.unionByName, [*long_ones, short])
+
+    def spaced(k: int, mask: tuple[int, ...]) -> Column:
+        hashed = lambda i: F.struct(F.lit(k).alias("mask"), _hash(F.col("item"), [i + p for p in mask]).alias("hash"), i.alias("item_at"))
+        return F.transform(F.sequence(F.lit(0), n - SPAN), hashed)
+
+    whole = F.array(F.struct((-n).alias("mask"), F.xxhash64("item").alias("hash"), F.lit(0).alias("item_at")))
+    every = F.when(n >= SPAN, F.concat(*[spaced(k, m) for k, m in enumerate(MASKS)])).otherwise(whole)
+    return words.select("item_id", F.explode(every).alias("s")).select("item_id", "s.*")
 
 
 def _vocabulary(items: DataFrame, text_col: str) -> Column:
@@ -80,8 +88,9 @@ def _vocabulary(items: DataFrame, text_col: str) -> Column:
     return known
 
 
-def _candidates(docs: DataFrame, known, lengths: list[int]) -> DataFrame:
-    """doc_id, words (hashes), and exploded (mask, at, hash) of the windows that consist of test words."""
+def _candidates(docs: DataFrame, known, lengths: list[int], reach: int) -> DataFrame:
+    """doc_id and exploded (mask, at, hash) of the windows that consist of test words, with the word hashes (near) of up to
+    reach places before and behind at, from place low on."""
     h = F.transform(plain_words(F.col("text")), lambda x: let(F.xxhash64(x), lambda y: F.when(known(y), y)))
     words = docs.select("doc_id", h.alias("w"))
     n = F.size("w")
@@ -96,24 +105,30 @@ def _candidates(docs: DataFrame, known, lengths: list[int]) -> DataFrame:
     found += [windows(s, tuple(range(s)), -s, lambda i, s=s: F.xxhash64(F.slice(F.col("w"), i + 1, s))) for s in lengths]
     empty = F.array().cast("array<struct<mask:int,at:int,hash:bigint>>")
     every = F.concat(*[F.coalesce(x, empty) for x in found])
-    return words.select("doc_id", "w", F.explode(every).alias("c")).select("doc_id", "w", "c.*")
+    low = F.greatest(F.col("c.at") - reach, F.lit(0))
+    return words.select("doc_id", "w", F.explode(every).alias("c")).select("doc_id", "c.*", low.alias("low"), F.slice("w", low + 1, F.lit(2 * reach + 1)).alias("near"))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", share: float = 0.5, min_matches: int = MIN_MATCHES) -> DataFrame:
     """(doc_id, item_id, n_matched, n_item_words) of every document that holds a test item, at its best diagonal."""
     items = items.select(F.col(item_id_col).alias("item_id"), F.col(item_text_col).alias("text"))
-    test = seeds(items, "item_id", "text")
-    total = test.count()
-    short = [-r["mask"] for r in test.where("mask < 0").select("mask").distinct().collect()]  # fewer than SPAN values
-    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
-    cand = _candidates(src, _vocabulary(items, "text"), sorted(short))
-    blocks = max(1, -(-total // SEEDS_PER_JOIN))
-    test = test.withColumnRenamed("at", "item_at")
-    hits = [cand.join(F.broadcast(test.where(F.pmod(F.xxhash64("hash"), F.lit(blocks)) == b) if blocks > 1 else test), ["mask", "hash"]) for b in range(blocks)]
-    hit = reduce(DataFrame.unionByName, hits)
+    words = _items(items, "item_id", "text")
     n = F.size("item")
-    first = F.col("at") - F.col("item_at")
-    same = F.filter(F.sequence(F.lit(0), n - 1), lambda j: F.when(first + j >= 0, F.get(F.col("w"), first + j) == F.get(F.col("item"), j)).otherwise(False))
+    short = [r["n"] for r in words.where(n < SPAN).select(n.alias("n")).distinct().collect()]  # fewer than SPAN values
+    long_ones = F.when(n >= SPAN, n - SPAN + 1).otherwise(0).cast("long")
+    about = words.agg(F.max(n).alias("longest"), F.sum(n.cast("long")).alias("words"), F.sum(long_ones * len(MASKS)).alias("seeds")).first()
+    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
+    cand = _candidates(src, _vocabulary(items, "text"), sorted(short), about["longest"] or 1)
+    test = seeds(words)
+    if (about["seeds"] or 0) <= SEEDS_PER_JOIN:
+        test = F.broadcast(test)
+    else:
+        cand = cut(cand)
+    if 8 * (about["words"] or 0) <= ITEM_BYTES:
+        words = F.broadcast(words)
+    hit = cand.join(test, ["mask", "hash"]).join(words, "item_id")
+    first = F.col("at") - F.col("item_at") - F.col("low")  # the item's first word in near; before it where negative
+    same = F.filter(F.sequence(F.lit(0), n - 1), lambda j: F.when(first + j >= 0, F.get(F.col("near"), first + j) == F.get(F.col("item"), j)).otherwise(False))
     scored = hit.select("doc_id", "item_id", F.size(same).cast("long").alias("m"), n.cast("long").alias("n"))
     enough = (F.col("m") >= F.least(F.col("n"), F.lit(min_matches))) & (F.col("m") >= share * F.col("n"))
     return scored.where(enough).groupBy("doc_id", "item_id").agg(F.max("m").alias("n_matched"), F.max("n").alias("n_item_words"))

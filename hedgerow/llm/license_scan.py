@@ -1,18 +1,19 @@
 """License scans by patience alignment.
 
-Texts and templates are compared as normalized words (lower case, letters and digits only). Words of a text that occur
-in a template are its hits; hits at most `GAP` words apart form regions, and regions longer than one and a half
-templates are cut into overlapping windows, so work stays linear in the text. Neighbouring regions that together span at
-most one and a half templates are also tried as one, so foreign words inside a notice don't split it. In each region with enough different
-template words the alignment is: match the common head and tail; anchor on words that occur once in the region and
-once in the template; keep the longest increasing subsequence of anchors; align the gaps between them in the same way.
-Coverage is the share of the template's words that are aligned. A template is found where coverage reaches `threshold`.
+Texts and templates are compared as normalized words (lower case, letters and digits only). Only a text's hits, the words
+that occur in the template, are aligned, so foreign words between them don't matter. An alignment that reaches
+`threshold` begins with one of the template's first words; from each hit with such a word the text is looked at as far as
+a notice may be stretched: `stretch(n)` foreign words beside the template's n (short notices must be nearly verbatim, long
+ones may hold twice their length). Where the words there, counted with their repeats, could cover enough of the template
+(a bound that is exact), they are aligned: match the common head and tail; anchor on words that occur once on both sides;
+keep the longest increasing subsequence of anchors; align the gaps between them in the same way. Coverage is the share of
+the template's words that are aligned. A template is found where coverage reaches `threshold`.
 
-The bound on different words is exact: a region with fewer different template words than the threshold asks for cannot
-reach it. Whole texts are read; batches are cut by bytes.
+Whole texts are read; batches are cut by bytes.
 
 Defined results: null and empty texts have no license; very long texts are scanned whole; of equal coverage the earlier
-span counts, and templates are reported in name order; repeated rows give equal rows; an empty table gives no rows.
+span counts, as its shortest stretch, and templates are reported in name order; repeated rows give equal rows; an empty
+table gives no rows; extra columns pass through, but for one named licenses, which is replaced.
 """
 
 from __future__ import annotations
@@ -31,7 +32,6 @@ from pyspark.sql import types as T
 
 from .common import read, runs_of
 
-GAP = 3
 THRESHOLD = 0.8
 _WORD = re.compile(r"[^\W_]+")
 
@@ -50,6 +50,11 @@ TEMPLATES = {
 }
 
 
+def stretch(n: int) -> int:
+    """Foreign words that a notice of n words may hold."""
+    return n // 2 if n < 20 else 2 * n
+
+
 def normal_words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
@@ -111,32 +116,27 @@ class Scanner:
             for w in ws:
                 self.bit[w] = self.bit.get(w, 0) | 1 << k
         self.kinds = [len(set(ws)) for ws in self.words]
-        # Template words that may be missing, all counted as different ones: the least number of different words needed.
-        self.least = [max(1, d - int(len(ws) * (1 - threshold) + 1e-9)) for d, ws in zip(self.kinds, self.words, strict=True)]
-
-    def regions(self, at: np.ndarray, size: int, least: int = 1) -> Iterator[tuple[int, int]]:
-        """Windows [start, end) over runs of hit places, then over neighbouring runs with at least `least` hits."""
-        cuts = np.flatnonzero(np.diff(at) > GAP + 1) + 1
-        runs = np.split(at, cuts)
-        for run in runs:
-            s, e = int(run[0]), int(run[-1]) + 1
-            if e - s <= 1.5 * size:
+        #: Template words that must be aligned, and may be missing.
+        self.need = [next(m for m in range(len(ws) + 1) if m / len(ws) >= threshold) for ws in self.words]
+        spare = [len(ws) - m for ws, m in zip(self.words, self.need, strict=True)]
+        # The missing words all counted as different ones: the least number of different words needed.
+        self.least = [max(1, d - x) for d, x in zip(self.kinds, spare, strict=True)]
+        self.heads = [set(ws[: x + 1]) for ws, x in zip(self.words, spare, strict=True)]
+
+    def windows(self, k: int, at: np.ndarray, hits: list[str]) -> Iterator[tuple[int, int]]:
+        """Ranges of hits, each from a head word as far as a notice may reach, that could cover enough of template k."""
+        left = Counter(self.words[k])  # what of the template the range does not cover yet; negative where it has more
+        reach = len(self.words[k]) + stretch(len(self.words[k]))
+        covered = e = 0
+        for s in range(len(at)):
+            while e < len(at) and at[e] < at[s] + reach:
+                covered += left[hits[e]] > 0
+                left[hits[e]] -= 1
+                e += 1
+            if covered >= self.need[k] and hits[s] in self.heads[k]:
                 yield s, e
-            else:
-                step = max(1, size // 2)
-                for x in range(s, e, step):
-                    yield x, min(e, x + size + step)
-                    if x + size + step >= e:
-                        break
-        first = [0, *cuts.tolist(), len(at)]
-        for i in range(len(runs)):
-            s = int(at[first[i]])
-            for j in range(i + 1, len(runs)):
-                e = int(at[first[j + 1] - 1]) + 1
-                if e - s > 1.5 * size:
-                    break
-                if first[j + 1] - first[i] >= least:
-                    yield s, e
+            left[hits[s]] += 1
+            covered -= left[hits[s]] > 0
 
     def scan(self, words: list[str]) -> list[tuple[str, float, int, int]]:
         """(template, coverage, first word, last word + 1) of the templates found, in name order."""
@@ -144,19 +144,26 @@ class Scanner:
         out = []
         for k, name in enumerate(self.names):
             at = np.flatnonzero(bits >> k & 1)
-            if len(at) < self.least[k]:
+            if len(at) < self.need[k]:
                 continue
-            best, template = None, self.words[k]
-            for s, e in self.regions(at, len(template), self.least[k]):
-                own = words[s:e]
-                if len({w for w in own if self.bit.get(w, 0) >> k & 1}) < self.least[k]:
+            best, template, hits = None, self.words[k], [words[i] for i in at]
+            for s, e in self.windows(k, at, hits):
+                pairs = align(hits[s:e], template)
+                if len(pairs) < self.need[k] or best and len(pairs) < best[0]:
                     continue
-                pairs = align(own, template)
-                cover = len(pairs) / len(template)
-                if cover >= self.threshold and (best is None or cover > best[1] or (cover == best[1] and e <= best[2])):
-                    best = (name, cover, s + pairs[0][0], s + pairs[-1][0] + 1)
+                # The common tail may lie beyond the notice's own end: the shortest range that covers as much.
+                for end in range(s + len(pairs), e):
+                    fewer = align(hits[s:end], template)
+                    if len(fewer) >= len(pairs):
+                        pairs = fewer
+                        break
+                found = (len(pairs), int(at[s + pairs[0][0]]), int(at[s + pairs[-1][0]]) + 1)
+                if best is None or found[0] > best[0] or (found[1] >= best[1] and found[2] <= best[2]):
+                    best = found
+                if best[0] == len(template) == best[2] - best[1]:
+                    break
             if best:
-                out.append(best)
+                out.append((name, best[0] / len(template), best[1], best[2]))
         return out
 
     def possible(self, texts: pa.Array) -> np.ndarray:

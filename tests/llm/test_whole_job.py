@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
-from hedgerow.llm import decontamination, license_scan, line_dedup, ngram_jaccard
+from hedgerow.llm import decontamination, langid, license_scan, line_dedup, mixing, ngram_jaccard, token_count, warc
 
 
 def prose(rng, n, words=400):
@@ -200,3 +202,130 @@ def test_notice_with_foreign_words_inside():
         assert found["GPL-3.0-header"] == ((len(w) - 4) / len(w), 30, 30 + len(w) - 4 + n)
         found = {x[0]: x[1:] for x in scanner.scan([*w[:at], *foreign, *w[at:], *prose(rng, 40).split(), *w[:at], *foreign, *w[at:]])}
         assert found["GPL-3.0-header"] == (1.0, 0, len(w) + n)
+
+
+def test_coverage_with_words_inserted_deleted_and_moved():
+    scanner = license_scan.Scanner(license_scan.TEMPLATES, license_scan.THRESHOLD)
+    rng = random.Random(41)
+    for name in ("GPL-3.0-header", "MIT-text", "Apache-2.0-header", "BSD-3-Clause"):
+        w = license_scan.normal_words(license_scan.TEMPLATES[name])
+        n = len(w)
+
+        def found(words):
+            text = [f"y{rng.randrange(99)}" for _ in range(40)] + words + [f"y{rng.randrange(99)}" for _ in range(40)]
+            return {x[0]: x[1:] for x in scanner.scan(text)}.get(name)
+
+        for k in (1, 5, 20, 40):
+            at = rng.randrange(1, n)
+            assert found(w[:at] + [f"x{i}" for i in range(k)] + w[at:]) == (1.0, 40, 40 + n + k), (name, k)
+        spread = [y for i, x in enumerate(w) for y in ([x, "xa", "xb"] if i % 2 and i < n - 1 else [x])]
+        assert found(spread)[0] == 1.0
+        gone = set(rng.sample(range(1, n - 1), n // 6))
+        assert found([x for i, x in enumerate(w) if i not in gone])[0] >= 1 - (len(gone) + 2) / n
+        gone = set(rng.sample(range(n), n // 4 + 1))
+        assert found([x for i, x in enumerate(w) if i not in gone]) is None
+        at = rng.randrange(2, n - 4)
+        moved = w[:at] + w[at + 2 :] + w[at : at + 2]
+        assert found(moved)[0] >= (n - 4) / n
+        assert found(rng.sample(w, n)) is None
+    assert license_scan.Scanner({"a": "one two"}, 0.8).scan([]) == []
+
+
+def test_license_scan_of_nothing(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string, licenses int")
+    assert license_scan.scan_licenses(empty).count() == 0
+
+
+# ---- Decontamination at any number and length of items
+
+
+def test_long_items_and_many_seeds(spark, monkeypatch):
+    rng = random.Random(42)
+    item = prose(rng, 1_200, 900)
+    items = spark.createDataFrame([(1, item), (2, prose(rng, 30)), (3, None), (4, "two words")], "item_id long, text string")
+    docs = [(1, "so " + item), (2, prose(rng, 50)), (3, " ".join(item.split()[:700])), (4, "x two words y"), (5, " ".join(item.split()[:300]))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = [(1, 1, 1_200), (3, 1, 700), (4, 4, 2)]
+    got = lambda: sorted((r["doc_id"], r["item_id"], r["n_matched"]) for r in decontamination.contaminated(df, items).collect())
+    assert got() == want
+    monkeypatch.setattr(decontamination, "SEEDS_PER_JOIN", 10)
+    monkeypatch.setattr(decontamination, "ITEM_BYTES", 10)
+    assert got() == want
+
+
+# ---- Clashing names, odd ids, nothing at all
+
+
+def test_clashing_names_of_stages(spark, tmp_path):
+    spark.createDataFrame([(1, prose(random.Random(1), 30))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(i, f"the cat {i} sat on a mat with the dog and the bird number {i} of many", "en", "s", 9, 0.25, "mine", 77, "t") for i in range(12)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, lang_pred string, n_lines int, _text string"
+    df = spark.createDataFrame(rows, schema).withColumn("copy", F.lit("c")).withColumn("at", F.lit(1)).withColumn("node", F.lit(2))
+    for stage in (langid.stage, line_dedup.stage, ngram_jaccard.stage, decontamination.stage):
+        out = stage(spark, df, str(tmp_path))
+        assert out.columns == df.columns
+        for r in out.collect():
+            assert (r["score"], r["lang_pred"], r["n_lines"], r["_text"], r["copy"], r["at"], r["node"]) == (0.25, "mine", 77, "t", "c", 1, 2)
+        assert stage(spark, df.limit(0), str(tmp_path)).count() == 0
+    out = mixing.stage(spark, df, str(tmp_path))
+    assert sorted(out.columns) == sorted(df.columns) and {r["copy"] for r in out.collect()} <= {1, 2}
+    counted = token_count.count_tokens(df, "word_bpe_49k.json")
+    assert counted.columns.count("_text") == 1 and counted.count() == 12
+
+
+def test_token_counts_of_long_pieces(spark, monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_count, "MEMO", 2)
+    t = Tokenizer.from_file(token_count.vocabulary_path("word_bpe_49k.json"))
+    texts = ["a b c d e f", "x" * 3000 + " y", "字" * 500, "a b a b " * 20, "q" * 65 + " " + "q" * 64]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(1)
+    got = {r["doc_id"]: r["n_tokens"] for r in token_count.count_tokens(df, "word_bpe_49k.json").collect()}
+    assert got == {i: len(t.encode(x, add_special_tokens=False).ids) for i, x in enumerate(texts)}
+    assert token_count.count_tokens(df.limit(0), "word_bpe_49k.json").count() == 0
+
+
+# ---- WARC
+
+
+def test_markup_is_read_in_one_pass():
+    seconds = []
+    for n in (50_000, 200_000):
+        start = time.perf_counter()
+        for tag in ("<a ", "<script ", "<title ", "<a href=\"", "<!-- ", "</script ", "<p", "<"):
+            page = tag * n
+            warc.plain_text(page), warc.links(page), warc.title(page)
+        seconds.append(time.perf_counter() - start)
+    assert seconds[1] < 12 * seconds[0]
+    assert warc.plain_text("<p>a<b>c</b><script>x</script>d<!-- e -->f < g &lt;p&gt;<br/>h<i") == "ac d f < g <p>\nh"
+    assert warc.links("<a class=x href='/1'>u</a><A HREF=/2>v<a name=z>w<!-- <a href=3> --><abbr href=4><a href=\"5&amp;6\">") == ["/1", "/2", "5&6"]
+    assert warc.title("<TITLE lang=x> A\n&amp; B</title >") == "A & B" and warc.title("<title") == ""
+
+
+def test_records_of_given_responses(spark, tmp_path):
+    head = "HTTP/1.1 404 Not Found\r\nContent-Type: text/html\r\nX-Odd: a: b"
+    payload = "<title>é</title><p>Grüße</p><a href=/x>".encode() + b"\xff"
+    rows = [("k-1", "http://a/", bytearray(payload), "<urn:uuid:1>", "2020-02-02T02:02:02Z", head), ("k-2", None, None, None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id string, url string, html binary, rid string, date string, head string")
+    records = warc.build(pages, record_id_col="rid", date_col="date", head_col="head")
+    by = {(r["page_id"], r["type"]): r for r in records.collect()}
+    one = by["k-1", "response"]
+    assert (one["record_id"], one["date"], bytes(one["block"])) == ("<urn:uuid:1>", "2020-02-02T02:02:02Z", head.encode() + b"\r\n\r\n" + payload)
+    assert one["payload_digest"] == warc.digest(payload) and by["k-1", "conversion"]["refers_to"] == "<urn:uuid:1>"
+    about = __import__("json").loads(bytes(by["k-1", "metadata"]["block"]))
+    assert about["http_headers"] == {"Status": "404 Not Found", "Content-Type": "text/html", "X-Odd": "a: b"} and about["links"] == ["/x"]
+    assert bytes(by["k-1", "conversion"]["block"]).decode() == "é\nGrüße\n\ufffd".replace("é\n", "é\n") and len(by) == 6
+    warc.write_warc(records, str(tmp_path / "w"))
+    back = warc.responses(warc.read_warc(spark, str(tmp_path / "w")))
+    again = warc.build(back.withColumn("page_id", F.lit("k-1")).where("record_id = '<urn:uuid:1>'"), record_id_col="record_id", date_col="date", head_col="head").collect()
+    assert {(r["type"], r["record_id"], r["block_digest"], r["date"]) for r in again} == {(r["type"], r["record_id"], r["block_digest"], r["date"]) for k, r in by.items() if k[0] == "k-1"}
+    assert warc.build(pages.limit(0)).count() == 0
+
+
+def test_broken_warc_files():
+    whole = warc.serialize(warc.derive("1", "u", "<p>x")[0])
+    assert [x["block"] for x in warc.parse(whole)] == [warc.derive("1", "u", "<p>x")[0]["block"]]
+    cut = list(warc.parse(whole + whole[:-20]))
+    assert len(cut) == 2 and cut[1]["block"] == cut[0]["block"][: len(cut[1]["block"])]
+    assert list(warc.parse(b"WARC/1.1\r\nno colon here\r\nContent-Length: 1\r\n\r\nx")) == [{"headers": {"Content-Length": "1"}, "block": b"x"}]
+    assert list(warc.parse(b"WARC/1.1\r\nbroken")) == []

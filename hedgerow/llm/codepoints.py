@@ -6,19 +6,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import runs_of
 
-#: Code points handled at once; single longer texts are handled alone and whole.
+#: Bytes of text handled at once; single longer texts are handled alone and whole.
 CHUNK = 1 << 20
 LIMIT = 0x110000
 
 
 def chunks(texts: pa.Array, most: int = CHUNK) -> Iterator[tuple[int, int, list[str], np.ndarray, np.ndarray, np.ndarray]]:
     """(first, last, texts, code points joined by newlines, starts, ends); null texts count as empty."""
-    strings = [x or "" for x in texts.to_pylist()]
-    for i, j in runs_of((len(s) + 1 for s in strings), most):
-        own = strings[i:j]
+    texts = pc.fill_null(texts, "")
+    for i, j in runs_of((pc.binary_length(texts).to_numpy(zero_copy_only=False) + 1).tolist(), most):
+        own = texts.slice(i, j - i).to_pylist()
         size = np.fromiter(map(len, own), dtype=np.int64, count=j - i)
         starts = np.concatenate([[0], np.cumsum(size + 1)[:-1]]).astype(np.int64)
         points = np.frombuffer(("\n".join(own) + "\n").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import time
@@ -9,6 +10,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,6 +101,15 @@ def runs_of(sizes: Iterable[int], most: int) -> Iterator[tuple[int, int]]:
         yield start, k + 1
 
 
+def trim() -> None:
+    """Give memory that a task has freed back to the system: workers live on, and others need it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def splitmix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer: spreads every input bit over the word."""
     x = x ^ (x >> np.uint64(30))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .codepoints import LIMIT, chunks, span_sums
-from .common import fold, read, splitmix
+from .common import fold, read, splitmix, trim
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 16
@@ -151,6 +151,7 @@ def _predicted(docs: DataFrame, model: Model, text_col: str) -> DataFrame:
         for b in batches:
             names, scores = shared.value.predict(b.column(b.num_columns - 1))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names, "__hg_lang", "__hg_score"])
+        trim()
 
     return src.mapInArrow(run, schema)
 

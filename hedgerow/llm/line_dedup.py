@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .codepoints import LIMIT, chunks
-from .common import SPACE, cut, read, splitmix
+from .common import SPACE, cut, read, splitmix, trim
 from .packed import SCHEMA, exchange, pack, parts_for, unpack
 
 TAU = 2
@@ -48,6 +48,8 @@ BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95))
 POSTING = np.dtype([("k", "<u4"), ("line", "<u8"), ("sig", "<u8"), ("code", "u1")])
 #: Buckets of more members are split by a second segment; those of more after that are dealt as a grid.
 HOT, GRID = 4096, 8192
+#: Bytes of postings that a task gathers before it sends them.
+HELD = 24 << 20
 #: Bits of the set of lines that are read again.
 SEEN_BITS = 24
 #: What a text or line with a word matches.
@@ -250,8 +252,8 @@ def members(docs: DataFrame, min_chars: int) -> DataFrame:
     partitions, parts = parts_for(docs, 1.3)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, records, held = [], [], 0
         for b in batches:
-            part, records = [], []
             for _, _, _, points, starts, ends in chunks(b.column(0)):
                 _, _, start, size = _eligible(points, starts, ends, min_chars)
                 if not len(start):
@@ -266,8 +268,13 @@ def members(docs: DataFrame, min_chars: int) -> DataFrame:
                     r["k"], r["line"], r["sig"], r["code"] = keys & np.uint64(0xFFFFFFFF), line[rows], sig[rows], code
                     records.append(r)
                     part.append(((keys >> np.uint64(32)) % np.uint64(parts)).astype(np.int32))
-            if records:
-                yield from pack(np.concatenate(part), np.concatenate(records))
+                    held += r.nbytes
+                if held >= HELD:
+                    yield from pack(np.concatenate(part), np.concatenate(records))
+                    part, records, held = [], [], 0
+        if records:
+            yield from pack(np.concatenate(part), np.concatenate(records))
+        trim()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, r = unpack(batches, POSTING)
@@ -313,6 +320,7 @@ def members(docs: DataFrame, min_chars: int) -> DataFrame:
             at = x + np.flatnonzero(wanted[x : x + (1 << 20)])
             if len(at):
                 yield pa.RecordBatch.from_arrays([_signed(key[at]), _signed(line[at]), _signed(sig[at]), pa.array(code[at].astype(np.int32)), pa.array(hot[at])], ["bucket", "id", "sig", "code", "hot"])
+        trim()
 
     return exchange(docs.select("text").mapInArrow(emit, SCHEMA), partitions).mapInArrow(meet, "bucket long, id long, sig long, code int, hot boolean")
 
@@ -499,6 +507,7 @@ def _deduped(docs: DataFrame, min_chars: int, short_repeats: bool) -> DataFrame:
             out.append({"text": "\n".join(stay), "n_lines": len(lines), "n_kept_lines": len(stay)})
         return pa.array(out, pa.struct([("text", pa.string()), ("n_lines", pa.int64()), ("n_kept_lines", pa.int64())]))
 
+    apply = apply.asNondeterministic()  # so that a filter on the new text does not work it out again
     own = docs.withColumn("__hg_tid", F.xxhash64("text")).alias("d")
     right = kept.toDF("__hg_id", "__hg_rid", "__hg_kept").alias("k")
     both = own.join(right, (F.col("doc_id").eqNullSafe(F.col("__hg_id"))) & (F.col("__hg_tid") == F.col("__hg_rid")), "left")

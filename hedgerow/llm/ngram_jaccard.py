@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, read, runs_of, splitmix
+from .common import cut, read, runs_of, splitmix, trim
 from .packed import SCHEMA, exchange, parts_for, spread
 
 N = 5
@@ -115,7 +115,7 @@ def set_ids(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return splitmix(splitmix(a) ^ b)
 
 
-def batches_of(b: pa.RecordBatch, column: int, most: int = 8 << 20) -> Iterator[tuple[int, int, pa.Array]]:
+def batches_of(b: pa.RecordBatch, column: int, most: int = 2 << 20) -> Iterator[tuple[int, int, pa.Array]]:
     texts = pc.fill_null(b.column(column), "")
     for i, j in runs_of(pc.binary_length(texts).to_pylist(), most):
         yield i, j, texts.slice(i, j - i)
@@ -132,6 +132,7 @@ def sets(docs: DataFrame) -> DataFrame:
                 n = np.diff(bounds)
                 node = set_ids(tokens, bounds).view(np.int64)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(node, mask=n == 0)], ["doc_id", "n", "node"])
+        trim()
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, node long")
 
@@ -159,6 +160,7 @@ def survivors(docs: DataFrame) -> DataFrame:
                     done.clear()
                 for x in range(0, len(new), PLACES):
                     yield from cells(t, bounds, ids, n, np.array(new[x : x + PLACES]))
+        trim()
 
     def cells(t, bounds, ids, n, rows) -> Iterator[pa.RecordBatch]:
         """A cell a part: number of nodes, nodes, postings."""
@@ -258,6 +260,7 @@ def survivors(docs: DataFrame) -> DataFrame:
                 ],
                 ["node", "n", "shared", "keys"],
             )
+        trim()
 
     posted = exchange(docs.select("text").mapInArrow(emit, SCHEMA), partitions)
     found = exchange(posted.mapInArrow(meet, SCHEMA), partitions)

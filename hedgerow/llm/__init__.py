@@ -16,6 +16,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_ngram_jaccard": ngram_jaccard.ORACLE,
     "op2_line_dedup": line_dedup.ORACLE,
     "op4_decontamination": decontamination.ORACLE,
     "op6_quality_rules": quality_rules.ORACLE,

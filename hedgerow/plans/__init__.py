@@ -316,7 +316,39 @@ SELECT {id}, -sum(c / n * log2(c / n)) AS e FROM
   (SELECT {id}, ch, count(*)::DOUBLE AS c, (sum(count(*)) OVER (PARTITION BY {id}))::DOUBLE AS n FROM {src} GROUP BY {id}, ch) GROUP BY {id}
 """
 
+_RULE_COUNT = lambda rules: " + ".join(f"len(regexp_extract_all(text, {_sql(_re2(r).replace('(?![', '(?:$|[^'))}))" for r in rules)
+#: Random-looking tokens of each text.
+_RANDOM = (
+    "WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9_\\-+/=]{{20,}}')) AS tok FROM {src}), r AS (SELECT row_number() OVER () AS id, doc_id, tok FROM t), c AS (SELECT id, unnest(string_split(tok, '')) AS ch FROM r), e AS ("
+    + _ENTROPY.format(id="id", src="c")
+    + ") SELECT doc_id, count(*) AS n FROM r JOIN e ON r.id = e.id WHERE CASE WHEN regexp_full_match(tok, '[0-9a-fA-F]+') THEN length(tok) >= 32 AND e.e >= 3.7 ELSE e.e >= 4.2 END GROUP BY doc_id"
+)
+#: Web tokens: two parts that begin as JSON objects do in base64.
+_JWTS = f"len(list_filter(regexp_extract_all(text, {_sql(R.JWT.pattern)}), lambda x: regexp_matches(x, '^ey[^.]*[.]ey')))"
+_SECRETS = f"{_RULE_COUNT([*R.SECRETS, R.ASSIGNMENT])} + {_JWTS} + coalesce(r.n, 0)"
+
+
+def _secrets_sql(more: str = "0") -> str:
+    return f"SELECT doc_id, n FROM (SELECT t.doc_id, ({_SECRETS} + {more})::BIGINT AS n FROM {TEXTS} t LEFT JOIN ({_RANDOM.format(src=TEXTS)}) r ON r.doc_id = t.doc_id) WHERE n > 0"
+
+
+#: Personal data cut out of a text, kind by kind; of card numbers only those with a valid check digit.
+_VALID_CARDS = f"list_filter(list_transform(regexp_extract_all(text, {_sql(CARD2.replace('(?:  |--)', '[ -]'))}, 1), lambda c: {{'raw': c, 'x': regexp_replace(c, '[^0-9]', '', 'g')}}), lambda v: {LUHN.replace('x', 'v.x')})"
+_NO_CARDS = f"list_reduce(list_prepend(text, list_transform({_VALID_CARDS}, lambda v: v.raw)), lambda t, c: replace(t, c, '[REDACTED:PII]'))"
+_NO_EMAIL = f"regexp_replace({_NO_CARDS}, {_sql(EMAIL_RX)}, '[REDACTED:PII]', 'g')"
+_PHONE_ALONE = r"(^|[^0-9])(?:[+]?1[-.\s]?)?[(]?[0-9]{3}[)]?[-.\s]?[0-9]{3}[-.\s]?[0-9]{4}([^0-9]|$)"
+_REDACTED = f"regexp_replace({_NO_EMAIL}, {_sql(_PHONE_ALONE)}, '\\1[REDACTED:PII]\\2', 'g')"
+
 ORACLES = {
+    "redact_pii": f"SELECT doc_id, {N_PII}::BIGINT AS n_findings, {_REDACTED} AS redacted_text FROM documents WHERE {N_PII} > 0",
+    "secrets": _secrets_sql(),
+    "exfiltration": _secrets_sql(f"{_RULE_COUNT(R.EXFILTRATION)} + {N_PII}"),
+    "gibberish": f"""WITH w AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[A-Za-z]{{4,}}'), lambda x: {{'size': length(x), 'r': length(regexp_replace(x, '[aeiouAEIOU]', '', 'g')) / length(x)::DOUBLE}}) AS w FROM {TEXTS}),
+c AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '[\\x09-\\x0D\\x20]', '', 'g'), '')) AS ch FROM {TEXTS}), e AS ({_ENTROPY.format(id="doc_id", src="c")}),
+n AS (SELECT doc_id, w, len(list_filter(w, lambda x: x.size >= 16 AND x.r >= 0.8)) AS monsters, list_avg(list_transform(w, lambda x: x.r)) AS mean FROM w)
+SELECT doc_id, n FROM (SELECT doc_id, (CASE WHEN monsters > 0 THEN monsters WHEN len(w) < 4 THEN 0 WHEN mean >= 0.8 THEN len(list_filter(w, lambda x: x.r >= 0.8)) WHEN e.e BETWEEN 2.8 AND 5.2 THEN 0 ELSE 1 END)::BIGINT AS n FROM n JOIN e USING (doc_id)) WHERE n > 0""",
+    # Every disguise comes undone: the verdicts are those of the clean texts.
+    "evasion_round_trip": f"SELECT how, count(*) AS texts, count(*) FILTER (WHERE {N_PII} > 0) AS blocked FROM {TEXTS}, (VALUES {', '.join(f'({_sql(k)})' for k in ('clean', *transforms.TRANSFORMS))}) AS h(how) GROUP BY how",
     "redact_email": f"SELECT doc_id, regexp_replace(text, {_sql(EMAIL_RX)}, '[EMAIL]', 'g') AS redacted_text FROM {TEXTS} WHERE {N_EMAIL} > 0",
     "pii_counts": f"SELECT doc_id, {N_EMAIL}::BIGINT AS emails, {N_PHONE}::BIGINT AS phones, len({CARDS})::BIGINT AS cards, len({SSNS})::BIGINT AS ssns FROM {TEXTS} WHERE {N_PII} > 0",
     "prompt_injection": _count_sql([_re2(r) for r in R.PROMPT_INJECTION]),
@@ -330,9 +362,7 @@ ORACLES = {
     + _ENTROPY.format(id="doc_id", src="c") + ")",
     "consonant_ratio": f"SELECT doc_id, len(w)::BIGINT AS words, round(list_sum(list_transform(w, lambda x: length(regexp_replace(x, '[aeiouAEIOU]', '', 'g')) / length(x)::DOUBLE)) / len(w), 6) AS ratio FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]{{4,}}') AS w FROM {TEXTS}) WHERE len(w) > 0",
     "url_allowlist": "WITH h AS (SELECT page_id, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1)) AS h FROM pages WHERE regexp_matches(url, '(?i)https?://')) SELECT page_id, 'URL points outside the allowlist (' || regexp_extract(h, '([^.]*\\.[^.]*)$', 1) || ')' AS message FROM h WHERE NOT (h = 'example.com' OR ends_with(h, '.example.com'))",
-    "random_tokens": "WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9_\\-+/=]{20,}')) AS tok FROM documents), r AS (SELECT row_number() OVER () AS id, doc_id, tok FROM t), c AS (SELECT id, unnest(string_split(tok, '')) AS ch FROM r), e AS ("
-    + _ENTROPY.format(id="id", src="c")
-    + ") SELECT doc_id, count(*) AS n FROM r JOIN e ON r.id = e.id WHERE CASE WHEN regexp_full_match(tok, '[0-9a-fA-F]+') THEN length(tok) >= 32 AND e.e >= 3.7 ELSE e.e >= 4.2 END GROUP BY doc_id",
+    "random_tokens": _RANDOM.format(src="documents"),
     "removed_lookalikes": f"SELECT doc_id, translate(text, {_sql(_LOOK)}, {_sql(''.join(CONFUSABLES.values()))}) AS text FROM {TEXTS}",
     "normalized_text": f"SELECT doc_id, translate(text, {_sql(_LOOK)}, {_sql(''.join(CONFUSABLES.values()))}) AS text FROM {TEXTS}",
     "fullwidth": f"SELECT doc_id, translate(text, {_sql(transforms.ASCII + ' ')}, {_sql(transforms.FULLWIDTH + chr(0x3000))}) AS text FROM {TEXTS}",

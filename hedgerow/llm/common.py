@@ -54,9 +54,11 @@ def unit(key: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; only where that is unset (tests) one of our own."""
+    """A new folder under spark.checkpoint.dir; where that is unset, one of our own in local mode, and an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="hedgerow-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/hedgerow-{uuid.uuid4().hex}"

@@ -5,6 +5,10 @@ on a bounded, hash-chosen sample of the labelled rows (`max_train_docs`, drawn e
 log-probability matrix (languages x buckets, float32: 256 kB a language) is broadcast, and texts are scored in numpy:
 a gather and a segment sum per language, over whole texts.
 
+The score is a softmax over whole texts, so it comes near 1 after a few words, whatever they are. How well a text fits its
+language at all is a second figure: the mean log-probability of its n-grams, less what is expected of the language itself
+(its entropy, from the model), less what is allowed to a text of so few n-grams. The pipeline stage rejects texts below 0.
+
 Defined results: null texts and texts without a letter give `und` with score 0; very long texts are scored whole;
 repeated rows give equal rows; without any labelled row every text is `und`; ties go to the smallest language name; an
 empty table gives no rows; extra columns pass through, but `detect` replaces those named lang_pred and score.
@@ -26,6 +30,8 @@ from .common import fold, read, splitmix, trim
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 16
+#: A text's mean log-probability an n-gram may fall short of its language's by MISFIT + SHORT / sqrt(n-grams).
+MISFIT, SHORT = 2.5, 10.0
 UNDETERMINED = "und"
 
 _table: np.ndarray | None = None
@@ -86,20 +92,24 @@ class Model:
     log_prob: np.ndarray  # languages x (BUCKETS + 1); the last column, for no n-gram, is 0
     prior: np.ndarray
 
-    def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
-        names, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
+    def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """(language, score, fit) of each text; a fit below 0 means that the text is hardly of any learned language."""
+        names, scores, fits = [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
         if not self.languages:
-            return names, scores
+            return names, scores, fits
+        own_mean = np.array([(np.exp(x, dtype=np.float64) * x).sum() for x in self.log_prob[:, :BUCKETS]])
         for i, _, own, points, starts, ends in chunks(texts):
             grams, s, e = ngrams(points, starts, ends)
             total = np.stack([self.prior[k] + sum(span_sums(self.log_prob[k][g], s, e) for g in grams) for k in range(len(self.languages))])
-            any_letter = span_sums((grams[0] != BUCKETS).astype(np.int64), s, e) > 0
+            n = span_sums((grams != BUCKETS).sum(axis=0), s, e)
             best = total.argmax(axis=0)
+            mean = (total.max(axis=0) - self.prior[best]) / np.maximum(n, 1)
+            fit = mean - own_mean[best] + MISFIT + SHORT / np.sqrt(np.maximum(n, 1))
             share = 1 / np.exp(total - total.max(axis=0)).sum(axis=0)
             for d in range(len(own)):
-                if any_letter[d]:
-                    names[i + d], scores[i + d] = self.languages[best[d]], share[d]
-        return names, scores
+                if n[d]:  # it has a letter
+                    names[i + d], scores[i + d], fits[i + d] = self.languages[best[d]], share[d], fit[d]
+        return names, scores, fits
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_train_docs: int = 20_000, alpha: float = 0.1) -> Model:
@@ -142,15 +152,16 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
 
 
 def _predicted(docs: DataFrame, model: Model, text_col: str) -> DataFrame:
-    """docs with __hg_lang and __hg_score."""
+    """docs with __hg_lang, __hg_score and __hg_fit."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     src = docs.select(*[c for c in docs.columns if c != text_col], text_col)
-    schema = T.StructType([*src.schema.fields, T.StructField("__hg_lang", T.StringType()), T.StructField("__hg_score", T.DoubleType())])
+    schema = T.StructType([*src.schema.fields, T.StructField("__hg_lang", T.StringType()), T.StructField("__hg_score", T.DoubleType()), T.StructField("__hg_fit", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names, scores = shared.value.predict(b.column(b.num_columns - 1))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names, "__hg_lang", "__hg_score"])
+            names, scores, fits = shared.value.predict(b.column(b.num_columns - 1))
+            new = [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(fits, pa.float64())]
+            yield pa.RecordBatch.from_arrays([*b.columns, *new], [*b.schema.names, "__hg_lang", "__hg_score", "__hg_fit"])
         trim()
 
     return src.mapInArrow(run, schema)
@@ -173,8 +184,8 @@ MIN_SCORE = 0.5
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a determined language; the learned rows are those of `docs` outside the held-out fold."""
+    """Documents with a determined language that they fit; the learned rows are those of `docs` outside the held-out fold."""
     columns = docs.columns
     model = train(docs.where(fold(F.col("doc_id")) != 2))
-    found = _predicted(docs, model, "text").where((F.col("__hg_lang") != UNDETERMINED) & (F.col("__hg_score") >= MIN_SCORE))
+    found = _predicted(docs, model, "text").where((F.col("__hg_lang") != UNDETERMINED) & (F.col("__hg_score") >= MIN_SCORE) & (F.col("__hg_fit") >= 0))
     return found.select(*columns)
